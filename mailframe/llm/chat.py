@@ -77,7 +77,7 @@ class Flattener:
 PART = "type string, text string, ref string, width int, height int, seconds double, pages int"
 SEGMENTS = (
     "conv_id long, seq long, segment string, loss_start long, loss_end long, "
-    "attachments array<struct<index: long, kind: string, ref: string, tokens: long>>, expanded_tokens long"
+    "attachments array<struct<position: long, kind: string, ref: string, tokens: long>>, expanded_tokens long"
 )
 
 
@@ -117,14 +117,14 @@ def format_chat(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
         flat, seq, out = Flattener(), 0, []
         schema = pa.schema([
             ("conv_id", pa.int64()), ("seq", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()),
-            ("attachments", pa.list_(pa.struct([("index", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()),
+            ("attachments", pa.list_(pa.struct([("position", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()),
         ])
         for new, conv, role, parts in _turns(batches):
             if new:
                 flat, seq = Flattener(), 0
             flat.attachments, flat.tokens = [], 0
             text, a, b = _segment(flat, role, parts, roles)
-            out.append({"conv_id": conv, "seq": seq, "segment": text, "loss_start": a, "loss_end": b, "attachments": [dict(zip(("index", "kind", "ref", "tokens"), x, strict=True)) for x in flat.attachments], "expanded_tokens": flat.tokens})
+            out.append({"conv_id": conv, "seq": seq, "segment": text, "loss_start": a, "loss_end": b, "attachments": [dict(zip(("position", "kind", "ref", "tokens"), x, strict=True)) for x in flat.attachments], "expanded_tokens": flat.tokens})
             seq += 1
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema)

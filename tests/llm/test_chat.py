@@ -22,7 +22,7 @@ def test_parts_are_flattened_in_order(spark):
     df = spark.createDataFrame([(1, 0, "user", parts, "x")], f"conv_id long, turn long, role string, parts array<struct<{chat.PART.replace(' ', ':').replace(',:', ',')}>>, seq string")
     [row] = chat.format_chat(df).collect()
     assert row.segment == "### user:\nsee \\# <|image:0|><|audio:1|><|document:2|>end</turn>\n"
-    assert [(a.index, a.kind, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 6), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 1536)]
+    assert [(a.position, a.kind, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 6), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 1536)]
     assert row.expanded_tokens == 1580
 
 
