@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, media
+from mailframe.llm import chat, media, mixing
 from mailframe.llm.common import shared_dir, table
 
 
@@ -27,8 +27,39 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(chat.text_parts(turns.unionByName(extra))))
 
 
+def op9_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix; targets in proportion to the square roots of the sources' sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "place")
+
+
+OP9_SQL = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+w AS (
+  SELECT source, greatest(1, round(sqrt(n) / sum(sqrt(n)) OVER () * {mixing.PERIOD}))::BIGINT AS units,
+         row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
+  FROM n),
+p AS (SELECT sum(units)::BIGINT AS l, list(units ORDER BY i) AS u FROM w),
+s(t, had, pick) AS (
+  SELECT 0::BIGINT, list_transform(u, lambda x: 0::BIGINT), NULL::BIGINT FROM p
+  UNION ALL
+  SELECT t + 1, list_transform(range(len(had)), lambda k: had[k + 1] + (k = c)::BIGINT), c
+  FROM (
+    SELECT t, had, list_min(list_transform(
+             list_filter(range(len(u)), lambda k: had[k + 1] * l // u[k + 1] <= t),
+             lambda k: ((had[k + 1] + 1) * l + u[k + 1] - 1) // u[k + 1] * 100000 + k)) % 100000 AS c
+    FROM s, p WHERE t < l)),
+plan AS (SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM s WHERE t > 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents)
+SELECT d.doc_id, d.source, nth // {mixing.BLOCK} AS block, nth // {mixing.BLOCK} // units * l + slot AS slot, nth % {mixing.BLOCK} AS place
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN p
+JOIN plan ON plan.i = w.i AND plan.turn = nth // {mixing.BLOCK} % units
+"""
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
+    "op9_mixing_weights": op9_mixing_weights,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing_weights": OP9_SQL}
