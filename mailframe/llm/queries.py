@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, media, mixing
+from mailframe.llm import chat, media, mixing, sharding
 from mailframe.llm.common import shared_dir, table
 
 
@@ -57,9 +57,19 @@ JOIN plan ON plan.i = w.i AND plan.turn = nth // {mixing.BLOCK} % units
 """
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards and compacted; where the committed version holds each document."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_dir(spark, "shards")
+    sharding.append(docs, path)
+    sharding.compact(spark, path, docs.schema)
+    return sharding.read(spark, path, docs.schema).select("doc_id", "source", "n_chars", "shard", "shard_tier", "shard_version")
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op9_mixing_weights": op9_mixing_weights,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {"op9_mixing_weights": OP9_SQL}
