@@ -73,7 +73,7 @@ def append(docs: DataFrame, path: str, arrival_rows: int = ARRIVAL_ROWS, lane_ta
     docs.write.option("maxRecordsPerFile", arrival_rows).option("compression", "zstd").parquet(folder)
     task = F.regexp_extract("file", r"part-(\d+)-", 1).cast("long")
     # a name that orders as the rows arrived: version, task, file of the task
-    name = F.format_string("a%08d-%06d-%s", F.lit(version), task, F.regexp_extract("file", r"-c(\d+)", 1))
+    name = F.format_string("a%08d-%06d-%s", F.lit(version), task, F.regexp_extract("file", r"-c(\d+)\.", 1))
     new = _listed(spark, folder, docs.schema, name)
     new = new.select(
         "shard", F.array("file").alias("files"), F.lit(version).cast("long").alias("version"), F.lit(0).alias("tier"), F.col("n_rows"),
