@@ -17,10 +17,12 @@ equal id are ordered by the other columns given in `ties`; an empty table gives
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, RANGE_ROWS, MAX_SOURCES = 32, 1000, 20_000, 10_000
+BLOCK, PERIOD, MAX_SOURCES = 32, 1000, 10_000
 
 
 def natural_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -55,9 +57,13 @@ def schedule(weights: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
     return each.select("x.source", "x.units", F.col("l").alias("period"), "slot").withColumn("turn", turn)
 
 
-def numbered(docs: DataFrame, ties: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Number the documents of each source from 0 in order of id, as column nth."""
+def numbered(docs: DataFrame, ties: list[str], range_rows: int | None = None) -> DataFrame:
+    """Number the documents of each source from 0 in order of id, as column nth.
+
+    Ranges hold about the square root of all rows each, so neither a range nor the list of ranges is large.
+    """
     span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    range_rows = range_rows or max(100, math.isqrt(span[2]))
     lo, width = span[0] or 0, max(1.0, ((span[1] or 0) - (span[0] or 0) + 1) / max(1.0, span[2] / range_rows))
     # keys that are never null, so that grouping, numbering and join share one partitioning
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
