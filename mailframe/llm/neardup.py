@@ -82,7 +82,7 @@ def keyed_texts(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, rid, h1, h2, size, keys: hash and size of each text's shingle set, and its band keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in (x for batch in batches for x in textops.slices(batch)):
             values, offsets = textops.shingles(b["text"], k)
             h1, h2 = _set_key(values, offsets)
             keys = band_keys(values, offsets, bands, rows).view(np.int64)
@@ -100,7 +100,7 @@ def class_sets(reps: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in (x for batch in batches for x in textops.slices(batch)):
             values, offsets = textops.shingles(b["text"], k)
             h1, h2 = _set_key(values, offsets)
             right = np.flatnonzero((h1 == b["h1"].to_numpy()) & (h2 == b["h2"].to_numpy()))

@@ -36,6 +36,16 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+    """Parts of a batch with about `most` bytes in a column (a larger value is a part of its own)."""
+    size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts back to back, and n + 1 offsets; null is empty."""
     column = pc.fill_null(column, "" if not pa.types.is_binary(column.type) else b"")
