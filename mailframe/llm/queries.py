@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, langid, media, mixing, neardup, sharding
+from mailframe.llm import chat, decontaminate, langid, media, mixing, neardup, sharding
 from mailframe.llm.common import shared_dir, table
 
 
@@ -66,6 +66,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.read(spark, path, docs.schema).select("doc_id", "source", "n_chars", "shard", "shard_tier", "shard_version")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within the item's error budget."""
+    return decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from labelled documents that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing_weights": op9_mixing_weights,
