@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, decontaminate, langid, media, mixing, neardup, sharding
+from mailframe.llm import chat, decontaminate, langid, media, mixing, neardup, pii, sharding
 from mailframe.llm.common import shared_dir, table
 
 
@@ -76,6 +76,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base patterns, and what the field adds."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's near-duplicate class and number of links, five words and a similarity of 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_language_id": op5_language_id,
+    "op7_pii": op7_pii,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing_weights": op9_mixing_weights,
     "op10_sharding": op10_sharding,

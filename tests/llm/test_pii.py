@@ -1,0 +1,77 @@
+import hashlib
+import time
+
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+
+from mailframe.llm import pii
+
+
+def brute(text):
+    """Base spans by the patterns as they are given."""
+    out = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in pii.CARD.finditer(text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in pii.PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="0123456789 .-+()@ab\né٣", max_size=60))
+@example("a@b@c.d x@@y.z @q.r 1@2.3.4.5.6 a@b.c@d.e")
+@example("4111 1111-1111 1111 +1 (988) 555-2485 256.1.1.1.1 0001.2.3.4")
+def test_base_spans_against_the_patterns(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+TAGGER = pii.Tagger(pii.fit(pii.sample_table()))
+
+
+def test_field_generalises_to_a_table_it_has_not_seen():
+    right = total = 0
+    for words, tags in pii.sample_table(40, seed=99):
+        text = " ".join(words)
+        want = {t[2:] for t in tags if t != "O"}
+        got = {k for k, _, _ in TAGGER.spans([text])[0]}
+        right += want == got
+        total += 1
+    assert right >= 0.95 * total
+
+
+def test_spans_are_added_and_base_ones_stay():
+    text = "call (212) 555-0134 or +1 (988) 555-2485, card 4111 1111 1111 1112, 4111111111111111; mail é🎉 a.b@c.org."
+    [(base, spans)] = pii.find([text], TAGGER)
+    assert set(base) <= set(spans) and base == brute(text)
+    assert {text[a:b] for k, a, b in set(spans) - set(base)} >= {"(212) 555-0134"}
+    assert all(not (a < y and x < b) for k, a, b in set(spans) - set(base) for _, x, y in base)
+
+
+def test_runs_are_independent():
+    parts = ["x 10.0.0.1 y", "call (212) 555-0134 now", "v1.2 of 2020", "a b"]
+    alone = [[text[a:b] for _, a, b in TAGGER.spans([text])[0]] for text in parts]
+    both = " . ".join(parts)
+    assert [both[a:b] for _, a, b in TAGGER.spans([both])[0]] == [x for xs in alone for x in xs]
+
+
+def test_long_texts_take_linear_time():
+    began = time.time()
+    for text in ("1" * 200_000, "a" * 200_000 + "@1", "1." * 100_000, "a@" * 100_000, "+1(" + "(" * 200_000, "x" * 200_000 + " 1"):
+        pii.find([text], TAGGER)
+    assert time.time() - began < 20
+
+
+def test_detect_against_brute_force(spark):
+    docs = [(1, "mail a@b.cd 1.2.3.4"), (2, None), (3, ""), (None, "mail a@b.cd 1.2.3.4"), (1, "mail a@b.cd 1.2.3.4"), (4, "no data " * 20000)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, spans string")
+    rows = pii.detect(df).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = next(t for d, t in docs if d == r.doc_id) or ""
+        base = sorted(brute(text), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert all(f"{k}:{a}:{b}" in r.spans.split(",") for k, a, b in base)
+    assert pii.detect(df.limit(0)).count() == 0
