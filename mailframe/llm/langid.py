@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import crf
-from mailframe.llm.textops import mix64
+from mailframe.llm.textops import mix64, slices
 
 PER_LANGUAGE, STRETCH, DIM, PIECE, CACHE, UNDECIDED = 600, 80, 1 << 17, 48, 400_000, "und"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -197,16 +197,14 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tup
 COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
 
-def predict(docs: DataFrame, labeller: Labeller, batch_words: int = 1_500_000) -> DataFrame:
+def predict(docs: DataFrame, labeller: Labeller) -> DataFrame:
     """docs (doc_id, held_out, text) to COLUMNS."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            texts = b["text"].to_pylist()
-            size = np.cumsum([len(t or "") for t in texts]) // (5 * batch_words)  # a slice holds some batch_words words
-            for lo, hi in zip(*(lambda s: (s, np.append(s[1:], len(texts))))(np.unique(size, return_index=True)[1]), strict=True):
-                label, score, n, switches = labeller.predict(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["held_out"].slice(lo, hi - lo), pa.array(label), pa.array(score), pa.array(n), pa.array(switches)], names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"])
+        for batch in batches:
+            for b in slices(batch):
+                label, score, n, switches = labeller.predict(b["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(label), pa.array(score), pa.array(n), pa.array(switches)], names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"])
 
     return docs.mapInArrow(run, COLUMNS)
 
@@ -215,3 +213,15 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Train on the labelled documents that are not held out, and predict all of them."""
     labeller = fit(training_rows(docs, per_language))
     return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), labeller)
+
+
+def keep(docs: DataFrame, labeller: Labeller, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with at least the score."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for b in slices(batch):
+                label, score, _, _ = labeller.predict(b["text"].to_pylist())
+                yield b.filter(pa.array([x != UNDECIDED and s >= least for x, s in zip(label, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -90,3 +90,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     rows = rows.filter(F.when(F.col("_units").isNotNull(), True).otherwise(F.raise_error(F.lit("a source has no weight"))))
     slot = F.floor(F.col("block") / F.col("_units")) * F.col("_period") + F.get("_slots", (F.col("block") % F.col("_units")).cast("int"))["slot"]
     return rows.withColumn("slot", slot).drop("_s", "_units", "_period", "_slots", "nth")
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """docs, all columns, sorted into the mixed order: what is written keeps it from file to file."""
+    names = docs.columns
+    ties = [c for c in ("text",) if c in names]
+    clash = {c: f"_own_{c}" for c in ("block", "slot", "place", "nth") if c in names}
+    rows = mix(docs.withColumnsRenamed(clash), weights, block, period, ties).orderBy("slot", "place").drop("block", "slot", "place")
+    return rows.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)

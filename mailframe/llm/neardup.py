@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailframe.llm import textops
@@ -79,7 +79,7 @@ def _set_key(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def keyed_texts(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, rid, h1, h2, size, keys: hash and size of each text's shingle set, and its band keys (null without shingles)."""
+    """doc_id, rid, thash, h1, h2, size, keys: hash and size of each text's shingle set, and its band keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in (x for batch in batches for x in textops.slices(batch)):
@@ -88,9 +88,9 @@ def keyed_texts(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             keys = band_keys(values, offsets, bands, rows).view(np.int64)
             size = np.diff(offsets)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()), mask=pa.array(size == 0))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["rid"], pa.array(h1), pa.array(h2), pa.array(size), flat], names=["doc_id", "rid", "h1", "h2", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["rid"], b["thash"], pa.array(h1), pa.array(h2), pa.array(size), flat], names=["doc_id", "rid", "thash", "h1", "h2", "size", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, rid long, h1 long, h2 long, size long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, rid long, thash long, h1 long, h2 long, size long, keys array<long>")
 
 
 def class_sets(reps: DataFrame, k: int) -> DataFrame:
@@ -219,14 +219,15 @@ def links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.select("root", "p", "q", "side", "cid", "weight", "keys", "shingles").mapInArrow(run, "cid long, links long, other long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, k: int = SHINGLE, side: int = SIDE) -> DataFrame:
-    """docs (doc_id, text) to one row per document: doc_id, class_id, n_links, n_copies.
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """Two keys that tell rows apart, unless id and text are equal: rid is the id, or hangs on the text without one."""
+    return docs.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("thash", F.xxhash64("text"))
 
-    class_id: smallest doc_id of the documents connected by links of at least the similarity; n_links: other
-    documents that this one links to (copies included); n_copies: documents of the same shingle set.
-    """
+
+def classify(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, k: int = SHINGLE, side: int = SIDE) -> DataFrame:
+    """doc_id, rid, thash, root, class_id, n_links, n_copies for each row of docs (doc_id, text); root is null without shingles."""
     bands, rows = choose_bands(similarity, recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), "text")
+    docs = _row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     texts = materialize(keyed_texts(docs, k, bands, rows).withColumn("cid", F.xxhash64("h1", "h2")), "sets")
     classes = texts.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("weight"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
@@ -249,6 +250,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     joined = classes.select("cid", "first", "weight").join(counts, "cid", "left").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left")
     joined = joined.withColumn("root", F.coalesce("root", "cid"))
     least = joined.groupBy("root").agg(F.min("first").alias("class_id"))
-    joined = joined.join(least, "root").select("cid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n_copies"))
-    alone = texts.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return texts.filter("size > 0").select("doc_id", "cid").join(joined, "cid").select("doc_id", "class_id", "n_links", "n_copies").unionAll(alone)
+    joined = joined.join(least, "root").select("cid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n_copies"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    alone = texts.filter("size = 0").select("doc_id", "rid", "thash", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), one.alias("n_copies"))
+    return texts.filter("size > 0").select("doc_id", "rid", "thash", "cid").join(joined, "cid").drop("cid").unionAll(alone)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, k: int = SHINGLE, side: int = SIDE) -> DataFrame:
+    """docs (doc_id, text) to one row per document: doc_id, class_id, n_links, n_copies.
+
+    class_id: smallest doc_id of the documents connected by links of at least the similarity; n_links: other
+    documents that this one links to (copies included); n_copies: documents of the same shingle set.
+    """
+    return classify(docs, similarity, recall, k, side).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, k: int = SHINGLE) -> DataFrame:
+    """docs, all columns, with one document of each near-duplicate class: the one of smallest id (null ids last).
+
+    Texts without shingles are alone and stay; of rows that repeat id and text one stays.
+    """
+    found = materialize(classify(docs, similarity, recall, k), "classified")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "rid", "thash")).alias("m")
+    stay = found.filter("root is not null").groupBy("root").agg(first).select("m.rid", "m.thash")
+    stay = stay.unionAll(found.filter("root is null").select("rid", "thash")).distinct().withColumnsRenamed({"rid": "_rid", "thash": "_thash"})
+    rows = docs.withColumn("_rid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_thash", F.xxhash64("text"))
+    rows = rows.join(stay, ["_rid", "_thash"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_rid", "_thash").orderBy("_rid"))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
