@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ARRIVAL_ROWS, TARGET_BYTES, FANOUT, LANE_TASKS = 1_000, 32 << 20, 4, 64
+ARRIVAL_ROWS, TARGET_BYTES, FANOUT, LANE_TASKS = 1_000, 16 << 20, 4, 64
 MANIFEST = "shard string, files array<string>, version long, tier int, n_rows long, n_bytes long, lane long, first string"
 
 
