@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, decontaminate, langid, media, mixing, neardup, pii, sharding
+from mailframe.llm import chat, decontaminate, langid, lmscore, media, mixing, neardup, pii, sharding
 from mailframe.llm.common import shared_dir, table
 
 
@@ -71,6 +71,44 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's trigram score with stupid backoff, counts from all other documents; rounded for comparison."""
+    found = lmscore.score(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, i, least(i, 3) AS reach, w[i] AS w1, w[i - 1] AS w2, w[i - 2] AS w3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+g AS (
+  SELECT doc_id, i, 1 AS n, w1 AS g FROM t
+  UNION ALL SELECT doc_id, i, 2, w2 || ' ' || w1 FROM t WHERE i > 1
+  UNION ALL SELECT doc_id, i, 3, w3 || ' ' || w2 || ' ' || w1 FROM t WHERE i > 2),
+own AS (SELECT doc_id, n, g, count(*) AS c FROM g GROUP BY ALL),
+total AS (SELECT n, g, sum(c) AS c FROM own GROUP BY ALL),
+size AS (SELECT doc_id, sum(c) FILTER (n = 1) AS own, (SELECT sum(c) FROM total WHERE n = 1) AS total FROM own GROUP BY doc_id),
+c AS (SELECT g.doc_id, g.i, g.n, (total.c - own.c)::DOUBLE AS c FROM g JOIN own USING (doc_id, n, g) JOIN total USING (n, g)),
+k AS (
+  SELECT t.doc_id, t.i, t.reach, (size.total - size.own)::DOUBLE AS words,
+         max(c.c) FILTER (c.i = t.i AND c.n = 1) AS c1, max(c.c) FILTER (c.i = t.i AND c.n = 2) AS c2, max(c.c) FILTER (c.i = t.i AND c.n = 3) AS c3,
+         max(c.c) FILTER (c.i = t.i - 1 AND c.n = 1) AS p1, max(c.c) FILTER (c.i = t.i - 1 AND c.n = 2) AS p2
+  FROM t JOIN size USING (doc_id) JOIN c ON c.doc_id = t.doc_id AND c.i IN (t.i, t.i - 1)
+  GROUP BY ALL),
+s AS (
+  SELECT doc_id, reach,
+         CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used,
+         CASE WHEN c3 > 0 THEN ln(c3) - ln(p2)
+              WHEN c2 > 0 THEN ln(c2) - ln(p1) + (reach - 2) * ln({lmscore.ALPHA})
+              WHEN c1 > 0 THEN ln(c1) - ln(words) + (reach - 1) * ln({lmscore.ALPHA})
+              ELSE 3 * ln({lmscore.ALPHA}) - ln(words + 1) END AS l
+  FROM k),
+r AS (SELECT doc_id, count(*) AS n, sum(l) AS l, count(*) FILTER (used = reach) AS top, count(*) FILTER (used BETWEEN 1 AND reach - 1) AS back, count(*) FILTER (used = 0) AS unseen FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(l, 0.0), 4) AS log_score, round(l / n, 4) AS mean_log_score,
+       coalesce(top, 0) AS n_top, coalesce(back, 0) AS n_backoff, coalesce(unseen, 0) AS n_unseen
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from labelled documents that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -90,10 +128,11 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing_weights": op9_mixing_weights,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op9_mixing_weights": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_lm_scoring": OP4_SQL, "op9_mixing_weights": OP9_SQL}
