@@ -34,7 +34,7 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> DataFrame:
-    """slice, n_words, packed: documents in slices of about slice_bytes, as compressed Arrow."""
+    """slice, n_words, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -46,7 +46,7 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table.combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([words], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["slice", "n_words", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([words], pa.int64()), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["slice", "n_words", "n_bytes", "packed"])
 
         for batch in batches:
             for b in textops.slices(batch, most=min(slice_bytes, 2 << 20)):
@@ -58,7 +58,7 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
         if held:
             yield told()
 
-    return docs.mapInArrow(run, "slice string, n_words long, packed binary")
+    return docs.mapInArrow(run, "slice string, n_words long, n_bytes long, packed binary")
 
 
 def opened(packed: bytes) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailframe.llm import chat, decontaminate, langid, lmscore, media, mixing, neardup, pii, sharding
+from mailframe.llm import chat, decontaminate, langid, lmscore, media, mixing, neardup, pii, sharding, suffix
 from mailframe.llm.common import shared_dir, table
 
 
@@ -114,6 +114,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the bytes that repeated strings of 200 bytes cover."""
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base patterns, and what the field adds."""
     return pii.detect(table(spark, sf_dir, "documents"))
@@ -130,6 +135,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_pii": op7_pii,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing_weights": op9_mixing_weights,
