@@ -129,12 +129,13 @@ def read(html: str | None, fields: tuple[str, ...]) -> dict | None:
     return {f: make[f](root) if f in fields else None for f in FIELDS}
 
 
+def read_all(v: pa.Array, fields: tuple[str, ...] = FIELDS) -> pa.Array:
+    return pa.array([read(x, fields) for x in v.to_pylist()], to_arrow_type(schema.HTML))
+
+
 def read_html(html: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     """struct of schema.HTML; fields that are not asked for are null and cost nothing."""
 
-    def run(v: pa.Array) -> pa.Array:
-        return pa.array([read(x, fields) for x in v.to_pylist()], to_arrow_type(schema.HTML))
-
-    return F.arrow_udf(run, schema.HTML)(html)
+    return F.arrow_udf(lambda v: read_all(v, fields), schema.HTML)(html)
 
 
