@@ -18,7 +18,7 @@ def register(spark: SparkSession) -> list[str]:
     from mailframe.operators import anonymize, html, mime
 
     spark.udf.register("mail_decode", F.arrow_udf(mime._arrow, schema.MIME))
-    spark.udf.register("mail_html", F.arrow_udf(html.read_all, schema.HTML))
+    spark.udf.register("mail_html", F.arrow_udf(html._arrow, schema.HTML))
     spark.udf.register("mail_anonymize", F.arrow_udf(anonymize._arrow, "string"))
     removed = "s"
     for e in INVISIBLE_ENTITIES:

@@ -129,13 +129,21 @@ def read(html: str | None, fields: tuple[str, ...]) -> dict | None:
     return {f: make[f](root) if f in fields else None for f in FIELDS}
 
 
-def read_all(v: pa.Array, fields: tuple[str, ...] = FIELDS) -> pa.Array:
+def read_all(v, fields: tuple[str, ...] = FIELDS):
     return pa.array([read(x, fields) for x in v.to_pylist()], to_arrow_type(schema.HTML))
 
 
+def _arrow(v: pa.Array) -> pa.Array:
+    return read_all(v)
+
+
 def read_html(html: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     """struct of schema.HTML; fields that are not asked for are null and cost nothing."""
 
-    return F.arrow_udf(lambda v: read_all(v, fields), schema.HTML)(html)
+    def run(v: pa.Array) -> pa.Array:
+        return read_all(v, fields)
+
+    # not deterministic as far as the optimizer knows, lest it repeats the function in each filter and projection above
+    return F.arrow_udf(run, schema.HTML).asNondeterministic()(html)
 
 

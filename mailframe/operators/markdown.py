@@ -71,7 +71,7 @@ def _render(node: Node, inner: str, parts: dict[int, str]) -> str:
         inner = " ".join(inner.split())
         return _block(f"{'#' * int(tag[1])} {inner}") if inner else ""
     if tag == "blockquote":
-        inner = inner.strip(_TRIM)
+        inner = _NEWLINES.sub("\n\n", _AFTER_NEWLINE.sub("\n", inner.strip(_TRIM)))
         return _block("\n".join(f"> {line}" for line in inner.split("\n"))) if inner else ""
     if tag in ("td", "th"):
         inner = inner.strip()

@@ -144,4 +144,5 @@ def _arrow(v: pa.Array) -> pa.Array:
 
 def decode_message(content: Column) -> Column:
     """struct of schema.MIME for binary content; error is set where parsing failed."""
-    return F.arrow_udf(_arrow, schema.MIME)(content)
+    # not deterministic as far as the optimizer knows, lest it repeats the function in each filter and projection above
+    return F.arrow_udf(_arrow, schema.MIME).asNondeterministic()(content)
