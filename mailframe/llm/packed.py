@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from mailframe.llm import textops
@@ -34,11 +34,15 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> DataFrame:
-    """slice, n_words, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow."""
+    """slice, n_words, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow.
+
+    A slice is named by its task and its place there, so a task that runs again makes the same slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = made = 0
+        task = TaskContext.get().partitionId()
 
         def told():
             table = pa.Table.from_batches(held)
@@ -46,7 +50,7 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table.combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([words], pa.int64()), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["slice", "n_words", "n_bytes", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([words], pa.int64()), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary())], names=["slice", "n_words", "n_bytes", "packed"])
 
         for batch in batches:
             for b in textops.slices(batch, most=min(slice_bytes, 2 << 20)):
@@ -54,7 +58,7 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
                 size += b["text"].nbytes
                 if size >= slice_bytes:
                     yield told()
-                    held, size = [], 0
+                    held, size, made = [], 0, made + 1
         if held:
             yield told()
 

@@ -72,7 +72,13 @@ def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased white-space separated words of all texts, and n + 1 offsets into them."""
+    """Hashes of the lower-cased white-space separated words of all texts, and n + 1 offsets into them; long columns in parts."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.nbytes > 3 << 20 and len(column) > 1:
+        parts = [words(b.column(0)) for b in slices(pa.record_batch([column], ["text"]), most=2 << 20)]
+        counts = np.concatenate([np.diff(at) for _, at in parts])
+        return np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     column = pc.utf8_lower(pc.fill_null(column, ""))
     if pc.any(pc.match_substring_regex(column, WIDE_SPACE)).as_py():
         column = pc.replace_substring_regex(column, WIDE_SPACE, " ")
