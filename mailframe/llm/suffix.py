@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from mailframe.llm import packed, textops
 from mailframe.llm.common import materialize, sorted_groups
 
-LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 4 << 20, 400_000, 8_000, 512, 2_000
+LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 2 << 20, 400_000, 8_000, 512, 2_000
 REPEATED, WHOLE, OPEN, SENDER, CROWDED = 1, 2, 4, 8, 16
 _POSITION = np.uint64(0xFFFFFFFF)
 
