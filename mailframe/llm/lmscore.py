@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents from n-gram counts over all documents.
 
-Relations, packed: documents are dealt to slices of bounded bytes, a written table. Each slice explodes its
+Relations, packed: documents are dealt to slices of bounded bytes. Each slice explodes its
 n-grams of every order (64-bit hashes) and groups them with their counts; the groups go to the partition of
 the count table that owns their range of hash values. There counts of all slices are summed, and each slice gets
 the totals of just the n-grams it asked for. A slice then joins totals and n-grams by position and sums
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import packed, textops
-from mailframe.llm.common import materialize
 
 ORDER, ALPHA, SLICE_BYTES, RANGE_BYTES = 3, 0.4, 8 << 20, 8 << 20
 COLUMNS = "doc_id long, n_words long, log_score double, mean_log_score double, n_top long, n_backoff long, n_unseen long"
@@ -128,8 +127,9 @@ def score_slice(table: pa.Table, totals: np.ndarray, n_total: int, order: int, a
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs (doc_id, text) to COLUMNS: natural logarithms, n_top words scored at the highest order that fits."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = materialize(packed.slices(docs, slice_bytes, True), "slices")
-    n_total = parts.agg(F.sum("n_words")).first()[0] or 0
+    n_total = packed.count_words(docs)
+    # dealt once and used twice: for questions, and to score what comes back (the plan reuses the exchange)
+    parts = packed.slices(docs, slice_bytes).select("slice", "packed").repartition("slice")
     ranges = max(1, -(-n_total * 6 // range_bytes))
     answers = packed.totals(asked(parts, order, ranges))
 

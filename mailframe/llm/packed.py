@@ -33,8 +33,8 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> DataFrame:
-    """slice, n_words, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow.
+def slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
+    """slice, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow.
 
     A slice is named by its task and its place there, so a task that runs again makes the same slices.
     """
@@ -46,11 +46,10 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
 
         def told():
             table = pa.Table.from_batches(held)
-            words = int(textops.words(table["text"].combine_chunks())[1][-1]) if count_words else 0
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table.combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([words], pa.int64()), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary())], names=["slice", "n_words", "n_bytes", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary())], names=["slice", "n_bytes", "packed"])
 
         for batch in batches:
             for b in textops.slices(batch, most=min(slice_bytes, 2 << 20)):
@@ -62,7 +61,17 @@ def slices(docs: DataFrame, slice_bytes: int, count_words: bool = False) -> Data
         if held:
             yield told()
 
-    return docs.mapInArrow(run, "slice string, n_words long, n_bytes long, packed binary")
+    return docs.mapInArrow(run, "slice string, n_bytes long, packed binary")
+
+
+def count_words(docs: DataFrame) -> int:
+    """Words of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        n = sum(int(textops.words(b["text"])[1][-1]) for batch in batches for b in textops.slices(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return docs.select("text").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
 
 
 def opened(packed: bytes) -> pa.Table:

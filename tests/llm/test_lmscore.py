@@ -55,6 +55,12 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert lmscore.score(df.limit(0)).count() == 0
 
 
+def test_slices_are_dealt_once(spark):
+    df = lmscore.score(spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string"))
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing():
     values = np.array([0, 1, 2**64 - 1, 77], np.uint64)
     assert packed.unpack(packed.pack(values)).tolist() == values.tolist()
