@@ -28,6 +28,9 @@ _PARSER = BytesParser(policy=compat32)
 _WORD = re.compile(r"=\?([^?*\s]+)(?:\*[^?]*)?\?([bBqQ])\?([^?]*)\?=")
 _BETWEEN = re.compile(r"(=\?[^?\s]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?[^?\s]+\?[bBqQ]\?)")
 _FOLD = re.compile(r"\r?\n[ \t]*|\r(?=[ \t])")
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
+_PLAIN = re.compile(rf"([A-Za-z0-9=?_ -]*)<({_ATOM}@{_ATOM})>|({_ATOM}@{_ATOM})")
+_PLAIN_LIST = re.compile(rf"(?:(?:[A-Za-z0-9=?_-]+(?: [A-Za-z0-9=?_-]+)* )?<{_ATOM}@{_ATOM}>|{_ATOM}@{_ATOM})(?:, (?:(?:[A-Za-z0-9=?_-]+(?: [A-Za-z0-9=?_-]+)* )?<{_ATOM}@{_ATOM}>|{_ATOM}@{_ATOM}))*")
 _ID = re.compile(r"<([^<>]+)>")
 
 
@@ -59,6 +62,8 @@ def decode_words(value: str) -> str:
 
 
 def addresses(value: str) -> list[dict]:
+    if _PLAIN_LIST.fullmatch(value):  # most lists need no parser
+        return [{"name": decode_words(m[1].strip()) if m[1] and m[1].strip() else None, "email": m[2] or m[3]} for m in _PLAIN.finditer(value)]
     found = getaddresses([value], strict=False)
     return [{"name": decode_words(n) or None, "email": a} for n, a in found if n or a]
 

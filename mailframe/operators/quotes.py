@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ QUOTE_HEADERS = (
     r"^\s*\n(?:>\s?.+\n){2}",
 )
 #: The leftmost match of any is the leftmost match of all.
+#: Each header holds one of these, so a body without any needs no pattern.
+HINTS = ("wrote:", "Original Message", "Sent:", "schrieb ", "écrit", "escribi", "\n>")
 ANY_HEADER = java("(?:" + "|".join(QUOTE_HEADERS) + ")", "m")
 
 
@@ -42,7 +47,8 @@ def _first(items: Column, test) -> Column:
 
 def strip_quotes(body: Column) -> Column:
     """The body before the first header of a quoted reply."""
-    return let(
+    cut = let(
         F.split(body, ANY_HEADER, 2),
         lambda parts: F.when(F.size(parts) == 1, body).when(F.get(parts, F.lit(0)) != "", F.get(parts, F.lit(0))).otherwise(F.coalesce(_bottom_posted(body), F.lit(""))),
     )
+    return F.when(reduce(or_, (F.contains(body, F.lit(h)) for h in HINTS)), cut).otherwise(body)

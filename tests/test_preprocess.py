@@ -1,11 +1,15 @@
 import json
 
+from email.utils import getaddresses
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mailframe import schema
 from mailframe.functions.sql import register
-from mailframe.operators import anonymize
+from mailframe.operators import anonymize, mime
 from mailframe.operators.mime import parse
 from mailframe.operators.preprocess import preprocess, to_json, with_llm_context
 from mailframe.schema import PreprocessOptions
@@ -73,6 +77,13 @@ def test_options(spark):
     assert rows(spark, SIMPLE) == rows(spark, SIMPLE, options=PreprocessOptions())
 
 
+@given(st.lists(st.tuples(st.sampled_from(["", "Ann", "Ann B-C", "=?utf-8?q?J=C3=BC?=", '"Roe, A"', "A (c) B", "Dr. X"]), st.sampled_from(["a@b.org", "x.y+z@m.example.org", "odd", "a@[1.2.3.4]"]), st.booleans()), max_size=4))
+def test_plain_address_lists_are_read_as_the_parser_does(people):
+    value = ", ".join(f"{n} <{a}>".strip() if n or bare else a for n, a, bare in people)
+    want = [{"name": mime.decode_words(n) or None, "email": a} for n, a in getaddresses([value], strict=False) if n or a]
+    assert mime.addresses(value) == want
+
+
 def test_error_modes(spark):
     assert [r.i for r in rows(spark, "", SIMPLE, mode=schema.DROPMALFORMED)] == [1]
     bad, good = rows(spark, "", SIMPLE, mode=schema.PERMISSIVE)
