@@ -278,10 +278,13 @@ def search(sent: DataFrame, length: int, gram: int, batch: int) -> DataFrame:
             found = index_shard(shard, length, gram, batch)
             found[shard["whole"].to_numpy()] = False  # known already
             row, l = np.nonzero(found)  # noqa: E741
-            names = np.array(shard["slice"].to_pylist(), object)[row]
+            names, number = np.unique(shard["slice"].to_pylist(), return_inverse=True)
             pair = (shard["run"].to_numpy().astype(np.uint64)[row] << np.uint64(16)) | l.astype(np.uint64)
-            for name in sorted(set(names)):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([packed.pack(pair[names == name])], pa.binary())], names=["slice", "range", "codes"])
+            order = np.argsort(number[row], kind="stable")
+            ends = np.cumsum(np.bincount(number[row], minlength=len(names)))
+            for name, own in zip(names, np.split(pair[order], ends[:-1]), strict=True):
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([str(name)]), pa.array([-1], pa.int32()), pa.array([packed.pack(own)], pa.binary())], names=["slice", "range", "codes"])
 
     dealt = sent.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "slice string, range int, codes binary")
