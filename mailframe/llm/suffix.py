@@ -203,12 +203,23 @@ class SuffixArray:
     def merged(a: SuffixArray, b: SuffixArray) -> SuffixArray:
         return SuffixArray(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("after", "before", "low", "high", "names")))
 
-    def scan(self, length: int, found: np.ndarray) -> None:
+    def shared(self, depth: int) -> np.ndarray:
+        """Rows that have at least depth bytes in common with a neighbour: only these can share a window."""
+        near = self.common >= depth
+        near[:1] = False
+        return np.flatnonzero(near | np.append(near[1:], False))
+
+    def scan(self, length: int, gram: int, found: np.ndarray) -> None:
         """Set found[name, l] where the window that starts l bytes before the suffix of that name is that of another suffix.
 
         Suffixes are in one class at a depth as long as neighbours have that many bytes in common, so for each l two
         running sums give the classes of what lies left and right of the anchor; windows are equal if both classes are.
         """
+        some = self.shared(gram)
+        if len(some) < 0.8 * len(self):
+            if len(some):
+                SuffixArray(*(getattr(self, k)[some] for k in ("after", "before", "low", "high", "names"))).scan(length, gram, found)
+            return
         left = np.empty(len(self), np.int64)
         for l in range(int(self.low.min(initial=0)), int(self.high.max(initial=-1)) + 1):  # noqa: E741
             own = np.flatnonzero((self.low <= l) & (self.high >= l))
@@ -225,11 +236,11 @@ class SuffixArray:
 class Family:
     """Suffix arrays whose sizes are powers of two of a batch: a new one merges with its equals, as in counting."""
 
-    def __init__(self, length: int):
-        self.length, self.levels = length, []
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram, self.levels = length, gram, []
 
     def add(self, new: SuffixArray, found: np.ndarray) -> None:
-        new.scan(self.length, found)
+        new.scan(self.length, self.gram, found)
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             new = self._merge(self.levels.pop()[1], new, found)
@@ -244,7 +255,7 @@ class Family:
 
     def _merge(self, a: SuffixArray, b: SuffixArray, found: np.ndarray) -> SuffixArray:
         out = SuffixArray.merged(a, b)
-        out.scan(self.length, found)
+        out.scan(self.length, self.gram, found)
         return out
 
 
@@ -261,7 +272,7 @@ def index_shard(shard: pa.Table, length: int, gram: int, batch: int) -> np.ndarr
     wide = length - gram + 1
     low, high = shard["low"].to_numpy().astype(np.int64), shard["high"].to_numpy().astype(np.int64)
     found = np.zeros((len(shard), wide), bool)
-    family = Family(length)
+    family = Family(length, gram)
     for lo in range(0, len(shard), batch):
         part = shard.slice(lo, batch)
         rows = np.arange(lo, lo + len(part))
