@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +41,13 @@ def arrow_schema(ddl_fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema([pa.field(n, t) for n, t in ddl_fields])
 
 
+def release_memory() -> None:
+    """Give memory that freed arrays left in the allocators back to the system; a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal keys from batches that come sorted by them; only one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import packed, textops
+from mailframe.llm.common import release_memory
 
 ORDER, ALPHA, SLICE_BYTES, RANGE_BYTES = 3, 0.4, 8 << 20, 8 << 20
 COLUMNS = "doc_id long, n_words long, log_score double, mean_log_score double, n_top long, n_backoff long, n_unseen long"
@@ -67,6 +68,8 @@ def asked(parts: DataFrame, order: int, ranges: int) -> DataFrame:
                 values, counts = _wanted(packed.opened(packed_.as_py()), order)
                 for r, lo, hi in packed.segments(values, ranges):
                     yield packed.question(name, r, values[lo:hi], counts[lo:hi])
+                del values, counts
+                release_memory()
 
     return parts.select("slice", "packed").mapInArrow(run, packed.QUESTION)
 
@@ -79,10 +82,12 @@ def score_slice(table: pa.Table, totals: np.ndarray, n_total: int, order: int, a
     doc = np.repeat(np.arange(n_docs), length)
     flat = np.concatenate([g for g, _ in grams])
     by = np.argsort(flat)
-    new = np.concatenate([[True], flat[by][1:] != flat[by][:-1]]) if len(flat) else np.zeros(0, bool)
-    number = np.empty(len(flat), np.int64)
-    number[by] = np.cumsum(new) - 1
-    del by
+    flat = flat[by]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    del flat
+    number = np.empty(len(by), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    del by, new
     count = np.zeros((order + 1, n_words))  # of the n-gram that ends at a word; 0 where it doesn't reach back that far
     own_words = length[doc] if leave_one_out else np.zeros(n_words)
     count[0] = n_total - own_words
@@ -99,16 +104,18 @@ def score_slice(table: pa.Table, totals: np.ndarray, n_total: int, order: int, a
             own[order_] = np.repeat(np.diff(np.append(fresh, len(g))), np.diff(np.append(fresh, len(g))))
             c -= own
         count[n, where] = c
-    context = np.zeros((order + 1, n_words))
-    context[1] = count[0]
-    for n in range(2, order + 1):
-        context[n, 1:] = count[n - 1, :-1]  # the n-gram's first n - 1 words end one word before; unused at a document's start
+    del number
+
+    def context(n: int) -> np.ndarray:
+        """The count of each n-gram's first n - 1 words, which end one word before; unused at a document's start."""
+        return count[0] if n == 1 else np.concatenate([[0.0], count[n - 1, :-1]])[:n_words]
+
     place = np.arange(n_words) - np.repeat(offsets[:-1], length)
     reach = np.minimum(place + 1, order)
     log, used = np.zeros(n_words), np.zeros(n_words, np.int64)
     for n in range(order, 0, -1):
         take = (used == 0) & (reach >= n) & (count[n] > 0)
-        log[take] = np.log(count[n][take]) - np.log(context[n][take]) + (reach[take] - n) * np.log(alpha)
+        log[take] = np.log(count[n][take]) - np.log(context(n)[take]) + (reach[take] - n) * np.log(alpha)
         used[take] = n
     none = used == 0
     log[none] = order * np.log(alpha) - np.log(count[0][none] + 1)
@@ -137,6 +144,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_o
         rows = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), strict=True))
         totals = np.concatenate([packed.unpack(x) for _, x in rows]) if rows else np.zeros(0, np.uint64)
         done = [score_slice(packed.opened(x), totals, n_total, order, alpha, leave_one_out) for x in left["packed"].to_pylist()]
+        del totals
+        release_memory()
         return pa.concat_tables(done)
 
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, COLUMNS)

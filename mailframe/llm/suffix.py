@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import packed, textops
-from mailframe.llm.common import materialize, sorted_groups
+from mailframe.llm.common import materialize, release_memory, sorted_groups
 
 LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 2 << 20, 400_000, 8_000, 512, 2_000
 REPEATED, WHOLE, OPEN, SENDER, CROWDED = 1, 2, 4, 8, 16
@@ -102,6 +102,8 @@ def ask(parts: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
                 for r, lo, hi in packed.segments(key, ranges):
                     q = packed.question(name, r, key[lo:hi], count[lo:hi])
                     yield pa.RecordBatch.from_arrays([*q.columns, pa.array([packed.pack(stretch[lo:hi])], pa.binary())], names=["slice", "range", "values", "counts", "stretches"])
+                del found, order, key, stretch
+                release_memory()
 
     return parts.select("slice", "packed").mapInArrow(run, packed.QUESTION + ", stretches binary")
 
@@ -168,6 +170,8 @@ def stretches(parts: DataFrame, answers: DataFrame, shards: int, length: int, gr
                 "before": pa.array([raw[a:b] for a, b in zip(first, at, strict=True)], pa.binary()), "after": pa.array([raw[a : b + length] for a, b in zip(at, last, strict=True)], pa.binary()),
                 "low": pa.array((at - last).astype(np.int32)), "high": pa.array((at - first).astype(np.int32)), "whole": pa.array((code[pick] & WHOLE) > 0),
             }))
+        del raw, found
+        release_memory()
         return pa.concat_tables(made)
 
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, STRETCH)
@@ -370,6 +374,7 @@ def remove(parts: DataFrame, answers: DataFrame, length: int, gram: int, texts:
                 rows.append((d, int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
         names = [*(c.split(" ")[0] for c in COLUMNS.split(", ")), *(["kept"] if texts else [])]
         types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
+        release_memory()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, COLUMNS + (", kept binary" if texts else ""))
