@@ -48,9 +48,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> di
     if n < length:
         return {"at": none, "first": none, "last": none, "key": none.astype(np.uint64), "stretch": none.astype(np.uint64)}
     h = textops.prefix(data)
-    place = np.arange(n - gram + 1)
-    grams = textops.spans(h, place, place + gram)
-    least = (grams & ~_POSITION) | place.astype(np.uint64)  # ties go to the left
+    grams = textops.all_spans(h, gram)
+    least = (grams & ~_POSITION) | np.arange(n - gram + 1, dtype=np.uint64)  # ties go to the left
     width, step = length - gram + 1, 1
     while step * 2 <= width:
         np.minimum(least[:-step], least[step:], out=least[:-step])

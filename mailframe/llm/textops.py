@@ -71,6 +71,14 @@ def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def all_spans(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of one size, for comparison with each other only."""
+    x = (h[size:] - h[:-size]) * powers(len(h) - size, True)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased white-space separated words of all texts, and n + 1 offsets into them; long columns in parts."""
     if isinstance(column, pa.ChunkedArray):
