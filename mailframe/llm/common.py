@@ -30,15 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: survives the loss of executors and cuts lineage."""
-    path = shared_dir(df.sparkSession, name)
+    path = path or shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_schema(ddl_fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in ddl_fields])
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release_memory() -> None:

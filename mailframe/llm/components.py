@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailframe.llm.common import materialize
+from mailframe.llm.common import drop, materialize, shared_dir
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps, which keep a node's edges few: a hub's neighbours point to the
     smallest id around, so the number of edges never grows beyond the input's. Ends when the edges no longer change.
     """
-    now = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession, "edges")
+    now = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", path)
     before = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +24,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
+        last, path = path, shared_dir(spark, "edges")
+        now = materialize(small, "edges", path)
+        drop(spark, last)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
