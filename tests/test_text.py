@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,17 +71,16 @@ QUOTED = [
 ]
 
 
-@pytest.mark.parametrize(("body", "want"), QUOTED)
-def test_strip_quotes(spark, body, want):
-    assert one(spark, quotes.strip_quotes, body) == want
+def test_strip_quotes(spark):
+    got = run(spark, quotes.strip_quotes, *(b for b, _ in QUOTED))
+    assert list(zip((b for b, _ in QUOTED), got, strict=True)) == QUOTED
 
 
 def test_long_inputs_do_not_exhaust_the_stack(spark):
     long_ = "new\n\n" + "> quoted line\n" * 20_000
     assert one(spark, quotes.strip_quotes, long_) == "new\n"
-    for p in (*quotes.QUOTE_HEADERS, *(p for p, _ in signature.DELIMITERS)):
-        for x in ("a" * 200_000, "a b\n" * 20_000, f"x{NBSP}{LS}\r\n🎉"):
-            one(spark, lambda c, p=p: F.rlike(c, F.lit(t.java(p, "m"))), x)
+    patterns = (*quotes.QUOTE_HEADERS, *(p for p, _ in signature.DELIMITERS))
+    run(spark, lambda c: F.array(*(F.rlike(c, F.lit(t.java(p, "m"))) for p in patterns)), "a" * 200_000, "a b\n" * 20_000, f"x{NBSP}{LS}\r\n🎉")
 
 
 TAIL12 = "\n".join(f"line {i}" for i in range(12))
@@ -106,10 +104,9 @@ SIGNED = [
 ]
 
 
-@pytest.mark.parametrize(("body", "text", "sign"), SIGNED)
-def test_extract_signature(spark, body, text, sign):
-    r = one(spark, signature.extract_signature, body)
-    assert (r.text, r.signature) == (text, sign)
+def test_extract_signature(spark):
+    got = run(spark, signature.extract_signature, *(b for b, _, _ in SIGNED))
+    assert [(b, r.text, r.signature) for (b, _, _), r in zip(SIGNED, got, strict=True)] == SIGNED
 
 
 ATTRIBUTED = [
@@ -123,7 +120,6 @@ ATTRIBUTED = [
 ]
 
 
-@pytest.mark.parametrize(("line", "who", "when"), ATTRIBUTED)
-def test_parse_attribution(spark, line, who, when):
-    r = one(spark, parse_attribution, line)
-    assert (r.sender, r.timestamp) == (who, when)
+def test_parse_attribution(spark):
+    got = run(spark, parse_attribution, *(a for a, _, _ in ATTRIBUTED))
+    assert [(a, r.sender, r.timestamp) for (a, _, _), r in zip(ATTRIBUTED, got, strict=True)] == ATTRIBUTED
