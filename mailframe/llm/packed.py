@@ -52,7 +52,7 @@ def slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary())], names=["slice", "n_bytes", "packed"])
 
         for batch in batches:
-            for b in textops.slices(batch, most=min(slice_bytes, 2 << 20)):
+            for b in textops.slices(batch, most=max(1, slice_bytes // 8)):
                 held.append(b)
                 size += b["text"].nbytes
                 if size >= slice_bytes:
