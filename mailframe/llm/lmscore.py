@@ -20,8 +20,6 @@ n*n/2**65 over n distinct ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from mailframe.llm import packed, textops
 from mailframe.llm.common import release_memory
 
-ORDER, ALPHA, SLICE_BYTES, RANGE_BYTES = 3, 0.4, 8 << 20, 8 << 20
+ORDER, ALPHA, SLICE_BYTES, ROW_BYTES, RANGE_BYTES = 3, 0.4, 8 << 20, 1 << 20, 8 << 20
 COLUMNS = "doc_id long, n_words long, log_score double, mean_log_score double, n_top long, n_backoff long, n_unseen long"
 
 
@@ -59,19 +57,23 @@ def _wanted(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return packed.distinct(np.concatenate([g for g, _ in grams]))
 
 
+def _slice(rows: pa.Table) -> pa.Table:
+    """The documents of a slice from its rows; their order does not matter, but the rows of one slice may come in any."""
+    return pa.concat_tables(packed.opened(x) for x in rows["packed"].to_pylist()).combine_chunks()
+
+
 def asked(parts: DataFrame, order: int, ranges: int) -> DataFrame:
     """slice, range, values, counts: what each slice asks each range of hash values."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for name, packed_ in zip(b["slice"].to_pylist(), b["packed"], strict=True):
-                values, counts = _wanted(packed.opened(packed_.as_py()), order)
-                for r, lo, hi in packed.segments(values, ranges):
-                    yield packed.question(name, r, values[lo:hi], counts[lo:hi])
-                del values, counts
-                release_memory()
+    def run(rows: pa.Table) -> pa.Table:
+        name = rows["slice"][0].as_py()
+        values, counts = _wanted(_slice(rows), order)
+        out = pa.Table.from_batches([packed.question(name, r, values[lo:hi], counts[lo:hi]) for r, lo, hi in packed.segments(values, ranges)], packed.QUESTION_SCHEMA)
+        del values, counts
+        release_memory()
+        return out
 
-    return parts.select("slice", "packed").mapInArrow(run, packed.QUESTION)
+    return parts.select("slice", "packed").groupBy("slice").applyInArrow(run, packed.QUESTION)
 
 
 def score_slice(table: pa.Table, totals: np.ndarray, n_total: int, order: int, alpha: float, leave_one_out: bool) -> pa.Table:
@@ -136,16 +138,16 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_o
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_total = packed.count_words(docs)
     # dealt once and used twice: for questions, and to score what comes back (the plan reuses the exchange)
-    parts = packed.slices(docs, slice_bytes).select("slice", "packed").repartition("slice")
+    parts = packed.slices(docs, slice_bytes, ROW_BYTES).select("slice", "packed").repartition("slice")
     ranges = max(1, -(-n_total * 6 // range_bytes))
     answers = packed.totals(asked(parts, order, ranges))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), strict=True))
         totals = np.concatenate([packed.unpack(x) for _, x in rows]) if rows else np.zeros(0, np.uint64)
-        done = [score_slice(packed.opened(x), totals, n_total, order, alpha, leave_one_out) for x in left["packed"].to_pylist()]
+        done = score_slice(_slice(left), totals, n_total, order, alpha, leave_one_out)
         del totals
         release_memory()
-        return pa.concat_tables(done)
+        return done
 
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, COLUMNS)

@@ -33,15 +33,17 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
+def slices(docs: DataFrame, slice_bytes: int, row_bytes: int | None = None) -> DataFrame:
     """slice, n_bytes, packed: documents in slices of about slice_bytes, as compressed Arrow.
 
-    A slice is named by its task and its place there, so a task that runs again makes the same slices.
+    A slice is named by its task and its place there, so a task that runs again makes the same slices. With row_bytes
+    a slice comes in rows of about that many bytes, as large rows weigh on the JVM's heap; else in one.
     """
+    row_bytes = min(row_bytes or slice_bytes, slice_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
-        size = made = 0
+        size = whole = made = 0
         task = TaskContext.get().partitionId()
 
         def told():
@@ -52,12 +54,14 @@ def slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([size], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary())], names=["slice", "n_bytes", "packed"])
 
         for batch in batches:
-            for b in textops.slices(batch, most=max(1, slice_bytes // 8)):
+            for b in textops.slices(batch, most=max(1, row_bytes // 8)):
                 held.append(b)
                 size += b["text"].nbytes
-                if size >= slice_bytes:
+                if size >= row_bytes:
                     yield told()
-                    held, size, made = [], 0, made + 1
+                    held, size, whole = [], 0, whole + size
+                if whole >= slice_bytes:
+                    whole, made = 0, made + 1
         if held:
             yield told()
 
@@ -98,6 +102,7 @@ def question(name: str, r: int, values: np.ndarray, counts: np.ndarray) -> pa.Re
 
 
 QUESTION = "slice string, range int, values binary, counts binary"
+QUESTION_SCHEMA = pa.schema([("slice", pa.string()), ("range", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())])
 
 
 def totals(questions: DataFrame) -> DataFrame:

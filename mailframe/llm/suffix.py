@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from mailframe.llm import packed, textops
 from mailframe.llm.common import materialize, release_memory, sorted_groups
 
-LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 2 << 20, 400_000, 8_000, 512, 2_000
+LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 1 << 20, 400_000, 8_000, 512, 2_000
 REPEATED, WHOLE, OPEN, SENDER, CROWDED = 1, 2, 4, 8, 16
 _POSITION = np.uint64(0xFFFFFFFF)
 
@@ -322,7 +322,7 @@ def ask_windows(parts: DataFrame, answers: DataFrame, ranges: int, length: int,
             found = anchors(text, offsets, length, gram)
             values, counts = packed.distinct(_crowded(found, _codes(found, _in_order(right, "codes"))[0], text, length)[1])
             made += [packed.question(name, r, values[lo:hi], counts[lo:hi]) for r, lo, hi in packed.segments(values, ranges)]
-        return pa.Table.from_batches(made, schema=pa.schema([("slice", pa.string()), ("range", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())]))
+        return pa.Table.from_batches(made, schema=packed.QUESTION_SCHEMA)
 
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, packed.QUESTION)
 
