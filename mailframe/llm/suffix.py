@@ -73,7 +73,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> di
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     at = at[first]
     whole = textops.mix64(textops.spans(h, first, last + length) + textops.mix64((at - first).astype(np.uint64) + np.uint64(1)))
-    return {"at": at, "first": first, "last": last, "key": grams[at], "stretch": whole}
+    key = textops.mix64(grams[at])  # anchors have the least hashes around, so spread them over the ranges again
+    return {"at": at, "first": first, "last": last, "key": key, "stretch": whole}
 
 
 def _pairs(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
