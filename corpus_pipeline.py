@@ -3,9 +3,9 @@
 1. language_id: documents without a language, or with a score under MIN_SCORE, go.
 2. ngram_jaccard_join: one document of each near-duplicate class stays.
 3. benchmark_decontamination: documents that hold a benchmark item within its error budget go.
-4. mixing_weights: documents are ordered so that sources follow their target weights; all stay.
-5. sharding: documents are appended, in that order, as small shards and compacted; the rows that the committed version holds,
-   with the shard of each.
+4. mixing_weights: documents get places in an order in which sources follow their target weights, as columns; all stay.
+5. sharding: documents are sorted by these places, appended as small shards and compacted by neighbours: shards by `first` of the
+   manifest, and rows in them, are in the mixed order. The rows that the committed version holds, with the shard of each.
 """
 
 from __future__ import annotations
@@ -31,13 +31,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.placed(docs)
 
 
 def sharding_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "corpus")
+    docs = mixing.in_order(docs)
     sharding.append(docs, path)
-    sharding.compact(spark, path, docs.schema)
+    sharding.compact(spark, path, docs.schema, ordered=True)
     return sharding.read(spark, path, docs.schema)
 
 

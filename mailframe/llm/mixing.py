@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD, MAX_SOURCES = 32, 1000, 10_000
+#: Columns that store the mixed order in tables: Spark reads files by falling size, so the order of rows in files is no order.
+POSITION = ("_mix_slot", "_mix_place")
 
 
 def natural_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -92,10 +94,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     return rows.withColumn("slot", slot).drop("_s", "_units", "_period", "_slots", "nth")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs, all columns, sorted into the mixed order: what is written keeps it from file to file."""
+def placed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """docs, all columns, with the columns of POSITION, by which in_order() sorts them."""
     names = docs.columns
     ties = [c for c in ("text",) if c in names]
     clash = {c: f"_own_{c}" for c in ("block", "slot", "place", "nth") if c in names}
-    rows = mix(docs.withColumnsRenamed(clash), weights, block, period, ties).orderBy("slot", "place").drop("block", "slot", "place")
-    return rows.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
+    rows = mix(docs.withColumnsRenamed(clash), weights, block, period, ties)
+    return rows.select(*(F.col(clash.get(c, c)).alias(c) for c in names), *(F.col(c).alias(p) for c, p in zip(("slot", "place"), POSITION, strict=True)))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """What placed() gave, whatever files it has been in, sorted into the mixed order and without POSITION."""
+    return docs.orderBy(*POSITION).drop(*POSITION)
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """docs, all columns, sorted into the mixed order."""
+    return in_order(placed(docs, weights, block, period))

@@ -1,9 +1,9 @@
 """Sharding by size-tiered compaction, with DataFrame functions only.
 
 append() writes arrivals as small immutable shards: each task puts its rows into files of bounded row
-counts, without a shuffle. compact() plans on the manifest alone: in each lane of shards, runs of `fanout`
-neighbours of one size tier become a shard of the next tier, tier by tier, until shards reach the target
-size; then one job rewrites every shard that is part of a merge, straight into its final shard (what an
+counts, without a shuffle. compact() plans on the manifest alone: in each lane of shards, `fanout` pending
+shards of one size tier become a shard of the next tier, tier by tier, until shards reach the target
+size; where order counts (ordered=True) only neighbours merge, so that shards by `first` and rows in them stay as appended; then one job rewrites every shard that is part of a merge, straight into its final shard (what an
 incremental compaction would have written in between is planned, not written). commit() publishes a
 manifest of the next version by a rename that fails if that version is there already: readers see the old
 list of shards or the new one, and no file is changed once it is listed.
@@ -73,7 +73,7 @@ def append(docs: DataFrame, path: str, arrival_rows: int = ARRIVAL_ROWS, lane_ta
     docs.write.option("maxRecordsPerFile", arrival_rows).option("compression", "zstd").parquet(folder)
     task = F.regexp_extract("file", r"part-(\d+)-", 1).cast("long")
     # a name that orders as the rows arrived: version, task, file of the task
-    name = F.format_string("a%08d-%06d-%s", F.lit(version), task, F.regexp_extract("file", r"-c(\d+)\.", 1))
+    name = F.format_string("a%08d-%06d-%06d", F.lit(version), task, F.regexp_extract("file", r"-c(\d+)\.", 1).cast("long"))
     new = _listed(spark, folder, docs.schema, name)
     new = new.select(
         "shard", F.array("file").alias("files"), F.lit(version).cast("long").alias("version"), F.lit(0).alias("tier"), F.col("n_rows"),
@@ -82,12 +82,13 @@ def append(docs: DataFrame, path: str, arrival_rows: int = ARRIVAL_ROWS, lane_ta
     return commit(spark, path, manifest(spark, path).unionByName(new), version)
 
 
-def plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
+def plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, ordered: bool = False) -> DataFrame:
     """Which final shard each live shard goes to: columns shard, goal, goal_tier, members.
 
     A lane's shards arrive in order. Those below the target are pending in a tier, by size: tier k holds sizes
     from base*fanout**k. When a tier has fanout pending, they merge into one, which is pending in the
     tier of its own size or, from the target size on, done. Lanes are bounded, so a lane's list is a bounded array.
+    With ordered, those that merge are the newest and the unbroken row of pending ones before it in its tier or lower ones.
     """
     base, most = 1 << 14, 1
     while base * fanout**most < target_bytes:
@@ -99,15 +100,21 @@ def plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int = FANO
     def merge(runs: Column, _: Column) -> Column:
         """The pending tier that the newest run is in becomes one run, if it is full."""
         last = F.element_at(runs, -1)
-        alike = lambda x: (x["n_bytes"] < target_bytes) & (last["n_bytes"] < target_bytes) & (tier(x["n_bytes"]) == tier(last["n_bytes"]))
-        full = F.filter(runs, alike)
+        pending = lambda x: (x["n_bytes"] < target_bytes) & (last["n_bytes"] < target_bytes)
+        if ordered:
+            low = lambda x: pending(x) & (tier(x["n_bytes"]) <= tier(last["n_bytes"]))
+            before = F.array_max(F.transform(runs, lambda x, i: F.when(low(x), 0).otherwise(i + 1)))
+            full, rest = F.slice(runs, before + 1, F.size(runs)), F.slice(runs, F.lit(1), before)
+        else:
+            alike = lambda x: pending(x) & (tier(x["n_bytes"]) == tier(last["n_bytes"]))
+            full, rest = F.filter(runs, alike), F.filter(runs, lambda x: ~alike(x))
         one = F.struct(
             F.array_min(F.transform(full, lambda x: x["first"])).alias("first"),
             F.aggregate(full, F.lit(0).cast("long"), lambda n, x: n + x["n_bytes"]).alias("n_bytes"),
             F.flatten(F.transform(full, lambda x: x["members"])).alias("members"),
             (F.array_max(F.transform(full, lambda x: x["rank"])) + 1).alias("rank"),
         )
-        return F.when(F.size(full) >= fanout, F.concat(F.filter(runs, lambda x: ~alike(x)), F.array(one))).otherwise(runs)
+        return F.when(F.size(full) >= fanout, F.concat(rest, F.array(one))).otherwise(runs)
 
     none = F.filter("runs", lambda x: F.lit(False))
     push = lambda held, x: F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.concat(held, F.array(x)), merge)
@@ -123,23 +130,23 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def compact(spark: SparkSession, path: str, schema, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
+def compact(spark: SparkSession, path: str, schema, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, ordered: bool = False) -> int:
     """Merge shards of the latest version by plan(), rewrite what is merged, and commit the next version."""
     now = manifest(spark, path)
     version = max(versions(spark, path), default=0) + 1
     staged = f"{path}/_plan-{uuid.uuid4().hex}"
-    plan(now, target_bytes, fanout).join(now.select("shard", F.col("files")), "shard").write.parquet(staged)  # the plan is fixed before data move
+    plan(now, target_bytes, fanout, ordered).join(now.select("shard", "files", "first"), "shard").write.parquet(staged)  # the plan is fixed before data move
     planned = spark.read.parquet(staged)
     moved = planned.filter("members > 1")
     kept = now.join(planned.filter("members = 1").select("shard"), "shard")
     if moved.isEmpty():
         return commit(spark, path, now, version)
     folder = f"{path}/data/m{version:08d}-{uuid.uuid4().hex[:8]}"
-    where = moved.select(F.explode("files").alias("_shard_file"), F.col("goal").alias("_shard"), F.col("shard").alias("_shard_from"))
+    where = moved.select(F.explode("files").alias("_shard_file"), F.col("goal").alias("_shard"), F.col("first").alias("_shard_from"))
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/data").select("*", F.col("_metadata.file_path").alias("_shard_file"), F.col("_metadata.row_index").alias("_shard_row"))
-    rows = rows.join(_small(where), "_shard_file").repartition("_shard").sortWithinPartitions("_shard", "_shard_from", "_shard_row")
+    rows = rows.join(_small(where), "_shard_file").repartition("_shard").sortWithinPartitions("_shard", "_shard_from", "_shard_file", "_shard_row")
     rows.drop("_shard_file", "_shard_from", "_shard_row").write.partitionBy("_shard").option("compression", "zstd").parquet(folder)
-    goals = moved.groupBy(F.col("goal").alias("_g")).agg(F.first("goal_tier").alias("tier"), F.first("lane").alias("lane"), F.min("shard").alias("first"))
+    goals = moved.groupBy(F.col("goal").alias("_g")).agg(F.first("goal_tier").alias("tier"), F.first("lane").alias("lane"), F.min("first").alias("first"))
     made = _listed(spark, folder, schema, F.regexp_extract("file", "_shard=([^/]+)/", 1))
     made = made.groupBy("shard").agg(F.collect_list("file").alias("files"), F.sum("n_rows").alias("n_rows"), F.sum("size").alias("n_bytes"))
     made = made.join(goals, made["shard"] == goals["_g"]).select(

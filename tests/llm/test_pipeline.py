@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from mailframe.llm import decontaminate, mixing, neardup
+from mailframe.llm import decontaminate, mixing, neardup, sharding
+from mailframe.llm.common import materialize
 from tests.llm.test_mixing import brute_schedule
 from tests.llm.test_neardup import corpus, shingle_set
 
@@ -59,3 +60,27 @@ def test_run_against_stages_by_hand(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in got} <= {(d[0], d[1]) for d in docs}
     assert all(r.shard for r in got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "mixing_weights", "sharding"]
+
+
+def test_shards_follow_the_mixed_order_over_unequal_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.randbytes(20 + i // 4).hex(), "abcd"[min(3, i % 7)]) for i in range(6000)]  # later files are larger
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [r.doc_id for r in mixing.mix(df).orderBy("slot", "place").collect()]
+    path = f"file://{tmp_path}/corpus"
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda *_: path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = materialize(corpus_pipeline.mixing_weights(spark, df, ""), "mixed", f"{tmp_path}/mixed")
+        assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 1
+        out = corpus_pipeline.sharding_(spark, docs, "")
+        assert out.columns == [*df.columns, "shard", "shard_tier", "shard_version"] and out.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shards = sharding.manifest(spark, path).orderBy("first").collect()
+    assert 1 < len(shards) < sharding.manifest(spark, path, 1).count()
+    got = []
+    for s in shards:
+        for f in s.files:
+            got += [r.doc_id for r in spark.read.parquet(f).select("doc_id", "_metadata.row_index").orderBy("row_index").collect()]
+    assert got == want

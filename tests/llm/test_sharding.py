@@ -43,6 +43,17 @@ def test_plan_against_brute_force(spark, sizes):
         assert sorted(map(sorted, groups.values())) == lsm(sizes, 16 * MB, 4)
 
 
+def test_ordered_plan_merges_neighbours_only(spark):
+    sizes = [3 * MB, MB // 2, 2 * MB, 7000, 20 * MB, MB, MB // 2, MB, 3 * MB, 2 * MB, 2 * MB, MB // 2] * 4
+    df = spark.createDataFrame([(f"a{i:04d}", ["f"], 1, 0, 1, n, 0, f"a{i:04d}") for i, n in enumerate(sizes)], sharding.MANIFEST)
+    groups = {}
+    for r in sharding.plan(df, 16 * MB, 4, ordered=True).collect():
+        groups.setdefault(r.goal, []).append(int(r.shard[1:]))
+    assert sorted(i for g in groups.values() for i in g) == list(range(len(sizes)))
+    assert all(sorted(g) == list(range(min(g), max(g) + 1)) for g in groups.values())
+    assert max(map(len, groups.values())) >= 4
+
+
 def test_append_compact_read(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     docs = [(i if i % 50 else None, f"text {i}" * (i % 7), "s", "x") for i in range(500)] + [(3, None, None, "x"), (3, None, None, "x")]
