@@ -3,7 +3,8 @@
 The documents of a source, in order of id, form blocks. With weights in whole units that sum to a period of
 L slots, block j of a source of u units gets release time floor(j*L/u) and deadline ceil((j+1)*L/u); in each
 slot the released block of earliest deadline goes, ties by source. Windows repeat each period, so one period
-is scheduled, of a size that depends on the parameters and the number of sources alone, and every block
+is scheduled, of a size that depends on the parameters and the number of sources alone (up to FOLD_SOURCES by
+SQL functions, above that by the driver with a heap, to the same slots), and every block
 finds its slot by arithmetic and a join with that table. While no source has run out, after any number of
 slots each source has within less than one block of its share. A source that has run out leaves its slots
 empty; nothing is dropped or repeated. The order of documents is (slot, place).
@@ -17,27 +18,60 @@ equal id are ordered by the other columns given in `ties`; an empty table gives
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, MAX_SOURCES = 32, 1000, 10_000
+BLOCK, PERIOD, MEAN_UNITS = 32, 1000, 10
+FOLD_SOURCES, BROADCAST_SOURCES = 1_000, 50_000
 #: Columns that store the mixed order in tables: Spark reads files by falling size, so the order of rows in files is no order.
 POSITION = ("_mix_slot", "_mix_place")
 
 
 def natural_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Default targets: units in proportion to the square root of a source's documents, at least one each."""
+    """Default targets: units in proportion to the square root of a source's documents, at least one each.
+
+    The period grows with the sources to MEAN_UNITS each, so that rounding and the least unit do not flatten the targets.
+    """
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     share = F.sqrt("n") / F.sum(F.sqrt("n")).over(Window.partitionBy(F.lit(1)))
-    return n.select("source", F.greatest(F.lit(1), F.round(share * period)).cast("long").alias("units"))
-
-
-def schedule(weights: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
+    slots = F.greatest(F.lit(period), MEAN_UNITS * F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    return n.select("source", F.greatest(F.lit(1), F.round(share * slots)).cast("long").alias("units"))
+
+
+def _schedule_many(weights: DataFrame) -> DataFrame:
+    """schedule() with a heap: a period of L slots takes L log n steps; the driver holds names and slots."""
+    names, units = [], []
+    for r in weights.select("source", F.col("units").cast("long").alias("units")).orderBy(F.col("source").asc_nulls_first(), "units").toLocalIterator():
+        names.append(r.source)
+        units.append(r.units)
+    total, had = sum(units), [0] * len(units)
+    who, turn = np.empty(total, np.int64), np.empty(total, np.int64)
+    waiting, ready = [(0, i) for i in range(len(units))], []  # (release, source), (deadline, source)
+    for at in range(total):
+        while waiting and waiting[0][0] <= at:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(had[i] + 1) * total // units[i]), i))
+        i = heapq.heappop(ready)[1]
+        who[at], turn[at] = i, had[i]
+        had[i] += 1
+        heapq.heappush(waiting, (had[i] * total // units[i], i))
+    columns = {
+        "source": pa.array(names, pa.string()).take(pa.array(who)), "units": np.array(units, np.int64)[who], "period": np.full(total, total, np.int64),
+        "slot": np.arange(total, dtype=np.int64), "turn": turn,
+    }
+    return weights.sparkSession.createDataFrame(pa.table(columns), "source string, units long, period long, slot long, turn long")
+
+
+def schedule(weights: DataFrame, fold_sources: int = FOLD_SOURCES) -> DataFrame:
     """One period, earliest deadline first: (source, units, period, turn, slot); weights: (source, units > 0)."""
+    if weights.count() > fold_sources:
+        return _schedule_many(weights)
     one = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", F.col("units").cast("long").alias("units")))).alias("w"))
-    one = one.filter(F.when(F.size("w") <= max_sources, True).otherwise(F.raise_error(F.lit(f"more than {max_sources} sources"))))
     one = one.withColumn("l", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["units"]))
 
     def step(state: Column, t: Column) -> Column:
@@ -84,11 +118,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
 
     weights: (source, units), every source of docs among them; None for natural_weights.
     """
-    plan = schedule(natural_weights(docs, period) if weights is None else weights)
+    weights = natural_weights(docs, period) if weights is None else weights
+    plan = schedule(weights)
     rows = numbered(docs, ties or []).withColumn("block", F.floor(F.col("nth") / block)).withColumn("place", F.col("nth") % block)
     sizes = plan.groupBy(F.col("source").alias("_s")).agg(F.first("units").alias("_units"), F.first("period").alias("_period"), F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("_slots"))
-    # at most max_sources rows, and period + max_sources slots in all
-    rows = rows.join(F.broadcast(sizes), rows["source"].eqNullSafe(sizes["_s"]), "left")
+    # few sources, with some MEAN_UNITS slots each, or else a shuffled join
+    sizes = F.broadcast(sizes) if weights.count() <= BROADCAST_SOURCES else sizes
+    rows = rows.join(sizes, rows["source"].eqNullSafe(sizes["_s"]), "left")
     rows = rows.filter(F.when(F.col("_units").isNotNull(), True).otherwise(F.raise_error(F.lit("a source has no weight"))))
     slot = F.floor(F.col("block") / F.col("_units")) * F.col("_period") + F.get("_slots", (F.col("block") % F.col("_units")).cast("int"))["slot"]
     return rows.withColumn("slot", slot).drop("_s", "_units", "_period", "_slots", "nth")

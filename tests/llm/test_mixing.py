@@ -58,3 +58,20 @@ def test_empty_and_missing(spark):
     assert mixing.mix(empty).count() == 0
     with pytest.raises(Exception, match="no weight"):
         mixing.mix(spark.createDataFrame([(1, "x")], "doc_id long, source string"), spark.createDataFrame([("y", 1)], "source string, units long")).collect()
+
+
+@pytest.mark.parametrize("units", [[1], [1, 1], [7, 2, 1], [50, 30, 11, 5, 3, 1], [97, 1, 1, 1], [3] * 40])
+def test_many_sources_are_scheduled_to_the_same_slots(spark, units):
+    names = [None, *(f"s{i:02d}" for i in range(1, len(units)))]
+    weights = spark.createDataFrame(list(zip(names, units, strict=True)), "source string, units long")
+    few, many = (sorted(mixing.schedule(weights, n).select("slot", "source", "units", "period", "turn").collect(), key=lambda r: r.slot) for n in (len(units), 0))
+    assert few == many and [names.index(r.source) for r in many] == brute_schedule(units)
+
+
+def test_more_sources_than_a_period_keep_their_targets(spark):
+    n = 12_000
+    docs = spark.range(4 * n + 396).selectExpr("id AS doc_id", f"IF(id < {4 * n}, concat('s', id % {n}), 's0') AS source")
+    units = {r.source: r.units for r in mixing.natural_weights(docs).collect()}
+    assert len(units) == n and units["s0"] == 100 and units["s1"] == 10  # 400 documents and 4
+    rows = mixing.mix(docs, block=1).select("source", "slot", "place").collect()
+    assert len(rows) == 4 * n + 396 == len({(r.slot, r.place) for r in rows})
