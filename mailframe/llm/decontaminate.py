@@ -8,8 +8,10 @@ occurrence's halves one has fewer edits than pieces, and so on down to an untouc
 half, quarter and so on around it has as many edits as pieces; only what is left is compared in whole. Documents are scanned once
 for each block of items; a block is bounded by its bytes, and blocks are as many as the benchmark needs.
 
-Defined cases: null and empty texts match nothing; items that are null or shorter than min_chars are no
-evidence and match nothing; repeated items match under each of their ids; of an item's occurrences in a text
+Items shorter than min_chars occur only without edits and on word bounds; next to a letter of a script written without
+spaces (Han, kana, Thai and the like) every place is a bound.
+
+Defined cases: null and empty texts match nothing; items that are null or empty when normalized match nothing; repeated items match under each of their ids; of an item's occurrences in a text
 the one of least distance is reported, the first of them at ties; repeated documents are reported each; an
 empty table or benchmark gives no matches; other columns are ignored by match() and kept by clean().
 """
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 RATE, MIN_CHARS, BLOCK_CHARS = 0.1, 20, 2_000_000
 _OTHER = re.compile(r"\W+")
+#: Thai, Lao, Tibetan, Burmese, Khmer; kana, bopomofo, Han and what marks its repetition.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normalize(text: str | None) -> str:
@@ -81,9 +85,12 @@ class Matcher:
     """The items of one block."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
-        self.items = [(i, t, int(rate * len(t)), masks(t)) for i, text in items if len(t := normalize(text)) >= min_chars]
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= min_chars else 0, masks(t)) for i, text in items if (t := normalize(text))]
         pieces: dict[str, list[tuple[int, int, tuple]]] = defaultdict(list)
         for n, (_, t, e, _) in enumerate(self.items):
+            if len(t) < min_chars:
+                pieces[t].append((n, 0, None))
+                continue
             cuts = [len(t) * j // (e + 1) for j in range(e + 2)]
             part = lambda lo, hi, t=t, cuts=cuts: (cuts[lo], cuts[hi] - cuts[lo], hi - lo - 1, masks(t[cuts[lo] : cuts[hi]]))
             made: dict[tuple[int, int], tuple] = {}
@@ -95,6 +102,11 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
+    @staticmethod
+    def _stands(text: str, start: int, end: int) -> bool:
+        """Whether text[start:end] begins and ends on word bounds."""
+        return all(i in (0, len(text)) or " " in text[i - 1 : i + 1] or _UNSPACED.search(text, i - 1, i + 1) for i in (start, end))
+
     @staticmethod
     def _may(text: str, start: int, steps: tuple) -> bool:
         """Whether all that stands around a piece, from small to large, has fewer edits than pieces."""
@@ -113,7 +125,7 @@ class Matcher:
         for end, (size, places) in self.automaton.iter(text):
             for n, a, steps in places:
                 start = end - size + 1 - a
-                if start not in begins[n] and self._may(text, start, steps):
+                if start not in begins[n] and (self._stands(text, start, end + 1) if steps is None else self._may(text, start, steps)):
                     begins[n].add(start)
         found = []
         for n, starts in begins.items():

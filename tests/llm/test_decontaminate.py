@@ -78,3 +78,13 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "text")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.match(docs, bench).count() == 0 and dc.clean(docs, bench).count() == 1
     assert dc.match(docs.limit(0), spark.createDataFrame([(1, "a" * 30)], "item_id long, text string")).count() == 0
+
+
+def test_short_items_occur_exactly_on_word_bounds(spark):
+    items = [(1, "Who won?"), (2, "水的沸点"), (3, "?!"), (4, None), (5, "7 x 8")]
+    texts = ["So WHO, won: the cup", "who wons it", "awho won", "who wan", "who won", "who wonx, who won", "问水的沸点是多少", "水的沸 点", "17 x 8", "7 x 8", "?!", "", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in dc.match(docs, bench).collect()}
+    assert got == {(0, 1, 0, 0, 10), (4, 1, 0, 0, 7), (5, 1, 0, 0, 16), (6, 2, 0, 0, 5), (9, 5, 0, 0, 5)}
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == set(range(len(texts))) - {0, 4, 5, 6, 9}
