@@ -29,9 +29,9 @@ def _query(name: str, corpus: str, make: Callable[[DataFrame], DataFrame], oracl
         ORACLES[name] = c.for_duckdb(oracle)
 
 
-def _column(name: str, corpus: str, out: str, f: Callable[[Column], Column], oracle: str) -> None:
-    """A query of one text operator: msg_id and f(body)."""
-    _query(name, corpus, lambda df: df.select("msg_id", f(F.col("body")).alias(out)), f"SELECT msg_id, {oracle} AS {out} FROM ({corpus}) e")
+def _column(name: str, corpus: str, out: str, f: Callable[[Column], Column], oracle: str, whole: str | None = None) -> None:
+    """A query of one text operator: msg_id and f(body); over whole, if given, where the oracle's corpus leaves rows out."""
+    _query(name, whole or corpus, lambda df: df.select("msg_id", f(F.col("body")).alias(out)), f"SELECT msg_id, {oracle} AS {out} FROM ({corpus}) e")
 
 
 # DuckDB's patterns know ASCII white space only; the corpora have no other left where these are used.
@@ -63,13 +63,13 @@ def _tidy(x: str) -> str:
     return _collapse(_trim_lines(_trim(x)))
 
 
-_column("clean_invisible", c.DIRTY, "body", t.clean_invisible, _clean("body"))
-_column("trim_lines", c.DIRTY, "body", lambda b: t.trim_lines(t.clean_invisible(b)), _trim_lines(_clean("body")))
-_column("collapse_newlines", c.DIRTY, "body", t.collapse_newlines, _collapse("body"))
-_column("tidy_body", c.DIRTY, "body", lambda b: t.tidy(t.clean_invisible(b)), _tidy(_clean("body")))
-_column("truncate_body", c.DIRTY, "body", lambda b: t.truncate(b, 100), "left(body, 100)")
+_column("clean_invisible", c.DIRTY, "body", t.clean_invisible, _clean("body"), c.DIRTY_ALL)
+_column("trim_lines", c.DIRTY, "body", lambda b: t.trim_lines(t.clean_invisible(b)), _trim_lines(_clean("body")), c.DIRTY_ALL)
+_column("collapse_newlines", c.DIRTY, "body", t.collapse_newlines, _collapse("body"), c.DIRTY_ALL)
+_column("tidy_body", c.DIRTY, "body", lambda b: t.tidy(t.clean_invisible(b)), _tidy(_clean("body")), c.DIRTY_ALL)
+_column("truncate_body", c.DIRTY, "body", lambda b: t.truncate(b, 100), "left(body, 100)", c.DIRTY_ALL)
 _query(
-    "body_lengths", c.DIRTY,
+    "body_lengths", c.DIRTY_ALL,
     lambda df: df.select("msg_id", t.byte_length(F.col("body")).alias("raw_length"), t.byte_length(t.tidy(t.clean_invisible(F.col("body")))).alias("clean_length")),
     f"SELECT msg_id, strlen(body)::BIGINT AS raw_length, strlen({_tidy(_clean('body'))})::BIGINT AS clean_length FROM ({c.DIRTY}) e",
 )

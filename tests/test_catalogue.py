@@ -35,6 +35,14 @@ def test_query_against_its_oracle(spark, db, name):
         assert got == table([d[0] for d in result.description], result.fetchall())
 
 
+def test_null_texts_stay_in_the_dirty_corpus(spark, tmp_path):
+    spark.createDataFrame([(i, None if i % 2 else f"text {i}") for i in range(16)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("clean_invisible", "trim_lines", "collapse_newlines", "tidy_body", "truncate_body", "body_lengths"):
+        rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r.msg_id for r in rows) == list(range(16))
+        assert all((v is None) == (r.msg_id % 2 == 1) for r in rows for v in tuple(r)[1:])
+
+
 def test_every_branch_of_the_corpora_fires(spark):
     from pyspark.sql import functions as F
 
