@@ -96,3 +96,20 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(200, 201), (201, 200), (5, 5)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+
+
+def test_one_id_with_many_texts_and_a_group_in_many_blocks(spark):
+    rows = [(7, t) for _, t in corpus(4)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), side=8).collect()
+    _, links = brute(rows)
+    assert sorted(r.n_links for r in got) == sorted(links)
+
+
+def test_hot_join_against_a_plain_join(spark, monkeypatch):
+    from mailframe.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    left = spark.createDataFrame([(i, 1 if i % 3 == 0 else i) for i in range(3000)], "x long, k long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k % 2 = 1").withColumn("y", common.F.col("k") * 2)
+    want = left.join(right.drop("n"), "k")
+    assert sorted(map(tuple, common.hot_join(left, right, "k", 3000).select("x", "k", "y").collect())) == sorted(map(tuple, want.select("x", "k", "y").collect()))

@@ -9,14 +9,14 @@ from tests.llm.test_neardup import corpus, shingle_set
 
 def test_deduplicate_keeps_one_of_each_class(spark):
     rows = corpus(3) + [(None, "only here and without any id at all"), (None, "only here and without any id at all"), (100, corpus(3)[60][1])]
-    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, root int, _nth string")
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, rep int, nth string")
     kept = neardup.deduplicate(df)
     assert kept.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     classes = {}
-    found = {(r.rid, r.thash): r for r in neardup.classify(df).collect()}
+    found = {r.rep: r for r in neardup.classify(df).collect()}
     for r in found.values():
-        classes.setdefault(r.root if r.root is not None else (r.rid, r.thash), []).append(r)
+        classes.setdefault(r.root if r.root is not None else r.rep, []).append(r)
     assert len(got) == len(classes)
     assert sorted((min(x.doc_id for x in c) for c in classes.values() if c[0].doc_id is not None), key=str) == sorted((i for i, _ in got if i is not None), key=str)
     sets = [shingle_set(t) for _, t in got]
