@@ -7,17 +7,17 @@ are made by joining stretches of texts of different languages. Forward-backward
 distribution; a text's language is the one of greatest mean, and the score is that mean.
 
 Training takes at most `per_language` texts of each label, those of least hash of id, and a stretch of
-`stretch` words from the middle of each: a documented bound that doesn't grow with the corpus.
+`stretch` words from the middle of each: a documented bound that doesn't grow with the corpus. One task learns from them.
 
-Defined cases: a null text, or one without letters, is `und` with score 0; a null label is not learned from;
+Defined cases: a null text, or one without letters (superscripts, fractions and other numerals are none), is `und` with score 0; a null label is not learned from;
 with no labelled text at all everything is `und`; words longer than 48 letters are labelled in pieces of 48;
 equal texts get equal predictions; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import crf
+from mailframe.llm.common import release_memory
 from mailframe.llm.textops import mix64, slices
 
 PER_LANGUAGE, STRETCH, DIM, PIECE, CACHE, UNDECIDED = 600, 80, 1 << 17, 48, 400_000, "und"
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Signs that count as parts of words in patterns, but are numbers and no letters: superscripts, fractions, circled and Roman numerals and the like.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTER = rf"[^\W\d_{_NUMBERS}]"
+_WORD = re.compile(rf"{_LETTER}+(?:['’]{_LETTER}+)*")
 _MASK = np.uint64(DIM - 1)
 
 
@@ -173,25 +177,37 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most per_language (text, label) rows of each label, of documents that are not held out.
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """draw, text, lang: about 1.3 * per_language rows of each label, of documents that are not held out.
 
     Takes rows whose id hash is below a bound that the label's count sets, so a scan of the table finds them
-    without a shuffle; ids only choose training rows.
+    without a shuffle; ids only choose training rows. The driver holds a count for each label; the model has more than that.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep |= (F.col("lang") == lang) & (draw < per_language * 1.3 / n)
+    bound = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.lang, per_language * 1.3 / r.n))), F.col("lang")) if counts else F.lit(0.0)
     middle = F.expr(f"substring(text, greatest(1, length(text) div 2 - {8 * STRETCH}), {16 * STRETCH})")
-    found = usable.filter(keep).select("lang", draw.alias("draw"), middle.alias("text")).limit(2 * per_language * max(1, len(counts))).collect()
-    out = []
-    for lang in sorted(counts):
-        own = sorted((r.draw, r.text) for r in found if r.lang == lang)[:per_language]
-        out += [(t, lang) for _, t in own]
-    return out
+    return usable.filter(draw < bound).select(draw.alias("draw"), middle.alias("text"), "lang")
+
+
+def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Labeller:
+    """fit() on the per_language rows of least draw of each label, in one task, as the sample is bounded; the driver gets the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        found = sorted((r["lang"], r["draw"], r["text"]) for b in batches for r in b.to_pylist())
+        seen: Counter = Counter()
+        own = []
+        for lang, _, text in found:
+            seen[lang] += 1
+            if seen[lang] <= per_language:
+                own.append((text, lang))
+        model = pickle.dumps(fit(own))
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else Labeller(None, [])
 
 
 COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
@@ -211,7 +227,7 @@ def predict(docs: DataFrame, labeller: Labeller) -> DataFrame:
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Train on the labelled documents that are not held out, and predict all of them."""
-    labeller = fit(training_rows(docs, per_language))
+    labeller = train(training_rows(docs, per_language), per_language)
     return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), labeller)
 
 

@@ -49,7 +49,7 @@ def text(rng, lang, n=30):
 def test_held_out_accuracy_and_code_switching(spark):
     rng = random.Random(3)
     docs = [(i, text(rng, lang), lang) for i, lang in enumerate(rng.choices(sorted(WORDS), k=300))]
-    extra = [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !?", "bb"), (1003, "x" * 100_000, None), (None, docs[0][1], None), (1004, docs[0][1], None), (1004, docs[0][1], None), (1005, text(rng, "aa") + " " + text(rng, "bb"), None)]
+    extra = [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !?", "bb"), (1006, "² ½ ① Ⅷ ٣", None), (1003, "x" * 100_000, None), (None, docs[0][1], None), (1004, docs[0][1], None), (1004, docs[0][1], None), (1005, text(rng, "aa") + " " + text(rng, "bb"), None)]
     df = spark.createDataFrame([(*d, "s") for d in docs + extra], "doc_id long, text string, lang string, score string").repartition(3)
     rows = langid.identify(df, per_language=50).collect()
     assert len(rows) == len(docs) + len(extra)
@@ -57,7 +57,7 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     unseen = [d for d in docs if got[d[0]].held_out]
     assert len(unseen) > 30 and sum(got[i].lang_pred == lang for i, _, lang in unseen) >= 0.95 * len(unseen)
-    assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001, 1002, 1006)] == [("und", 0.0)] * 4
     assert got[1003].lang_pred in WORDS and 0 <= got[1003].score <= 1
     assert got[None].lang_pred == got[1004].lang_pred == got[0].lang_pred and got[1004].score == pytest.approx(got[0].score)
     assert 1 <= got[1005].n_switches <= 6
@@ -72,3 +72,7 @@ def test_no_labels_and_empty_table(spark):
     [row] = langid.identify(df).collect()
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_words_are_runs_of_letters():
+    assert langid.split("x² ab½cd l’été don't ①② 漢字 Ⅷ") == ["x", "ab", "cd", "l’été", "don't", "漢字"]
