@@ -19,7 +19,7 @@ MIN_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep(docs, langid.fit(langid.training_rows(docs)), MIN_SCORE)
+    return langid.keep(docs, langid.train(langid.training_rows(docs)), MIN_SCORE)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
