@@ -32,7 +32,7 @@ from mailframe.llm import textops
 from mailframe.llm.common import fresh, hot_join, materialize, release_memory, sorted_groups
 from mailframe.llm.components import components
 
-SIMILARITY, RECALL, SHINGLE, MOST_HASHES, SIDE, SET_SIZE = 0.8, 0.9999, 5, 512, 256, 1024
+SIMILARITY, RECALL, SHINGLE, MOST_HASHES, SIDE, SET_SIZE = 0.8, 0.9999, 5, 512, 128, 1024
 SLICE_BYTES, TASK_BYTES, WIDTH = 2 << 20, 32 << 20, 4096
 COUNT, ROOT, EDGE = 0, 1, 2
 
