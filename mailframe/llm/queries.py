@@ -57,12 +57,21 @@ JOIN plan ON plan.i = w.i AND plan.turn = nth // {mixing.BLOCK} % units
 """
 
 
+ARRIVALS = 4
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended as small shards and compacted; where the committed version holds each document."""
+    """All documents appended in four arrivals, by ranges of ids, and compacted after every second; where the last version holds each document."""
     docs = table(spark, sf_dir, "documents")
     path = shared_dir(spark, "shards")
-    sharding.append(docs, path)
-    sharding.compact(spark, path, docs.schema)
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 1000)).first()[0] or []
+    for i, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
+        rest = F.lit(True) if hi is None else F.col("doc_id") <= hi
+        own = rest if lo is None else rest & (F.col("doc_id") > lo)
+        sharding.append(docs.filter(own | F.col("doc_id").isNull() if lo is None else own), path)
+        if i % 2:
+            sharding.compact(spark, path, docs.schema)
+            sharding.vacuum(spark, path)
     return sharding.read(spark, path, docs.schema).select("doc_id", "source", "n_chars", "shard", "shard_tier", "shard_version")
 
 

@@ -31,27 +31,25 @@ def lsm(sizes, target, fanout, base=1 << 14):
 
 @pytest.mark.parametrize("sizes", [[], [MB], [MB] * 4, [MB] * 21, [MB, 3 * MB, 100 * MB, MB, 7000, 2 * MB, MB, 3 * MB, 3 * MB] * 3, [20000 + 997 * i for i in range(70)]])
 def test_plan_against_brute_force(spark, sizes):
-    rows = [(f"a{i:04d}", ["f"], 1, 0, 1, n, lane, f"a{i:04d}") for lane in (0, 1) for i, n in enumerate(sizes)]
-    df = spark.createDataFrame([(f"{r[6]}{r[0]}", *r[1:]) for r in rows], sharding.MANIFEST)
-    got = sharding.plan(df, 16 * MB, 4).collect()
+    rows = [(f"a{i:04d}", ["f"], 1, 0, 1, n, i, f"a{i:04d}") for i, n in enumerate(sizes)]
+    got = sharding.plan(spark.createDataFrame(rows, sharding.MANIFEST), 16 * MB, 4).collect()
     assert len(got) == len(rows)
-    for lane in (0, 1):
-        groups = {}
-        for r in got:
-            if r.lane == lane:
-                groups.setdefault(r.goal, []).append(int(r.shard[2:]))
-        assert sorted(map(sorted, groups.values())) == lsm(sizes, 16 * MB, 4)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.goal, []).append(int(r.shard[1:]))
+    assert sorted(map(sorted, groups.values())) == lsm(sizes, 16 * MB, 4)
 
 
 def test_ordered_plan_merges_neighbours_only(spark):
     sizes = [3 * MB, MB // 2, 2 * MB, 7000, 20 * MB, MB, MB // 2, MB, 3 * MB, 2 * MB, 2 * MB, MB // 2] * 4
-    df = spark.createDataFrame([(f"a{i:04d}", ["f"], 1, 0, 1, n, 0, f"a{i:04d}") for i, n in enumerate(sizes)], sharding.MANIFEST)
-    groups = {}
-    for r in sharding.plan(df, 16 * MB, 4, ordered=True).collect():
-        groups.setdefault(r.goal, []).append(int(r.shard[1:]))
-    assert sorted(i for g in groups.values() for i in g) == list(range(len(sizes)))
-    assert all(sorted(g) == list(range(min(g), max(g) + 1)) for g in groups.values())
-    assert max(map(len, groups.values())) >= 4
+    df = spark.createDataFrame([(f"a{i:04d}", ["f"], 1, 0, 1, n, i, f"a{i:04d}") for i, n in enumerate(sizes)], sharding.MANIFEST)
+    for lane_shards in (1000, 20):
+        groups = {}
+        for r in sharding.plan(df, 16 * MB, 4, ordered=True, lane_shards=lane_shards).collect():
+            groups.setdefault(r.goal, []).append(int(r.shard[1:]))
+        assert sorted(i for g in groups.values() for i in g) == list(range(len(sizes)))
+        assert all(sorted(g) == list(range(min(g), max(g) + 1)) for g in groups.values())
+        assert max(map(len, groups.values())) >= 4
 
 
 def test_append_compact_read(spark, tmp_path):
@@ -88,3 +86,55 @@ def test_empty_table(spark, tmp_path):
     sharding.append(df, path)
     sharding.compact(spark, path, df.schema)
     assert sharding.read(spark, path, df.schema).count() == 0
+
+
+def test_eight_small_appends_end_in_fewer_shards(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    for i in range(8):
+        sharding.append(df.filter(f"doc_id div 50 = {i}"), path)
+        if i % 3 == 2:
+            sharding.compact(spark, path, df.schema)
+    sharding.compact(spark, path, df.schema)
+    assert sharding.manifest(spark, path).count() < 4
+    assert sorted(r.doc_id for r in sharding.read(spark, path, df.schema).collect()) == list(range(400))
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, "a") for i in range(10)], "doc_id long, text string")
+    sharding.append(df, path)
+    real, late = sharding._publish, []
+
+    def publish(spark, staged, final):
+        if not late:  # a second writer commits between this one's look and its commit
+            late.append(1)
+            sharding.append(df, path)
+        real(spark, staged, final)
+
+    monkeypatch.setattr(sharding, "_publish", publish)
+    with pytest.raises(sharding.Conflict):
+        sharding.append(df, path)
+    assert sharding.versions(spark, path) == [1, 2]
+    assert sharding.read(spark, path, df.schema).count() == 20
+
+
+def test_only_live_files_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/x"
+    df = spark.createDataFrame([(i, "a" * i) for i in range(200)], "doc_id long, text string").repartition(4)
+    sharding.append(df, path, arrival_rows=10)
+    sharding.compact(spark, path, df.schema)
+    live = {f for r in sharding.manifest(spark, path).collect() for f in r.files}
+    seen = {f.replace("file:///", "file:/") for f in sharding.read(spark, path, df.schema).inputFiles()}
+    assert {f for f in seen if "/data/" in f} == live
+
+
+def test_columns_of_like_names_long_texts_and_repeated_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/y"
+    rows = [(1, "x" * 300_000, "a", "b", 3, "c")] * 2 + [(None, None, None, None, None, None)] * 6
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, _shard string, shard_version int, _shard_file string").repartition(4)
+    sharding.append(df, path, arrival_rows=1)
+    sharding.compact(spark, path, df.schema)
+    got = sharding.read(spark, path, df.schema)
+    assert set(df.columns) < set(got.columns) and len(got.columns) == len({c.lower() for c in got.columns})
+    assert Counter(map(tuple, got.select(df.columns).collect())) == Counter(rows)
