@@ -75,3 +75,26 @@ def test_more_sources_than_a_period_keep_their_targets(spark):
     assert len(units) == n and units["s0"] == 100 and units["s1"] == 10  # 400 documents and 4
     rows = mixing.mix(docs, block=1).select("source", "slot", "place").collect()
     assert len(rows) == 4 * n + 396 == len({(r.slot, r.place) for r in rows})
+
+
+def test_outlying_ids_of_one_source_do_not_make_a_large_range(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'s' AS source").unionAll(spark.createDataFrame([(2**62, "s"), (-(2**62), "s"), (None, "s")], "doc_id long, source string"))
+    sizes = sorted(r["count"] for r in df.select(mixing._ranges(df, None, mixing.BINS).alias("r")).groupBy("r").count().collect())
+    assert len(sizes) > 100 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = sorted(mixing.numbered(df, []).collect(), key=lambda r: r.nth)
+    assert [r.nth for r in got] == list(range(20_003))
+    assert [r.doc_id for r in got] == [None, -(2**62), *range(20_000), 2**62]
+
+
+def test_columns_of_like_names_stay(spark):
+    rows = [(i, "ab"[i % 2], i * 7, -i, "p", "k") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, block int, Slot int, place string, _key string")
+    got = mixing.mix(df, block=4)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) == 9
+    assert sorted(map(tuple, got.select(df.columns).collect())) == rows
+    assert mixing.placed(df).columns == [*df.columns, *mixing.POSITION]
+
+
+def test_a_long_text_and_repeated_rows_keep_their_places(spark):
+    df = spark.createDataFrame([(1, "s", "x" * 200_000), (1, "s", None), (1, "s", None)], "doc_id long, source string, text string")
+    assert sorted(r._mix_place for r in mixing.placed(df).collect()) == [0, 1, 2]
