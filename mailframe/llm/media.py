@@ -4,14 +4,16 @@ An archive directory holds *.marc files (members back to back) and, beside each,
 fixed-width records (id, flags, offset, length, crc). The source plans partitions as byte ranges over the
 committed archives, opens a range once, streams members as Arrow batches, and retries a member by its own
 offset when a read fails or its checksum is wrong. Writers name files after the task attempt; only files
-that the commit record lists are read, so lost or repeated attempts leave nothing in the result.
+that a commit record lists are read, so lost or repeated attempts leave nothing in the result. Each write has a
+record of its own, named after the write, so writes to one directory, at the same time too, add up; one in mode
+overwrite takes away the records that were there before it.
 
 A member is an 8-bit greyscale PNG, 576 samples wide: the payload is the text's UTF-8 bytes, padded with 255
 to a positive multiple of 576.
 
 Defined cases: null text is empty (one row of padding); a null id is kept as null; repeated rows are members
-of their own; an empty table gives an empty archive directory with a commit record; other columns are
-ignored.
+of their own; an empty table gives an empty archive directory with a commit record, a directory without any record
+is not an archive directory (reading it raises); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,6 +93,12 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
+def _records(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The commit records of a directory, by name."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith("_commit-") and f.base_name.endswith(".json"))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archive: str
@@ -106,8 +114,8 @@ class ByteRange(InputPartition):
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    def __init__(self, path: str, level: int, overwrite: bool = False):
+        self.path, self.level, self.overwrite, self.name = path, level, overwrite, f"_commit-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
@@ -127,10 +135,13 @@ class MediaWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
+        before = _records(fs, root)
         listed = [{"archive": m.archive, "members": m.members, "bytes": m.bytes} for m in messages if m and m.members]
-        with fs.open_output_stream(f"{root}/_commit.tmp") as f:
+        with fs.open_output_stream(f"{root}/{self.name}.tmp") as f:
             f.write(json.dumps(listed).encode())
-        fs.move(f"{root}/_commit.tmp", f"{root}/_commit.json")
+        fs.move(f"{root}/{self.name}.tmp", f"{root}/{self.name}.json")
+        for path in before if self.overwrite else []:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
@@ -144,10 +155,14 @@ class MediaReader(DataSourceReader):
         self.path, self.range_bytes, self.retries, self.batch_bytes = path, range_bytes, retries, batch_bytes
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges from the commit record alone: a member belongs to the range that its start is in."""
+        """Byte ranges from the commit records alone: a member belongs to the range that its start is in."""
         fs, root = _open(self.path)
-        with fs.open_input_stream(f"{root}/_commit.json") as f:
-            listed = json.loads(f.read())
+        listed = []
+        if not (records := _records(fs, root)):
+            raise FileNotFoundError(f"no commit record in {self.path}")
+        for path in records:
+            with fs.open_input_stream(path) as f:
+                listed += json.loads(f.read())
         ranges = [ByteRange(x["archive"], at, min(self.range_bytes, x["bytes"] - at)) for x in listed for at in range(0, x["bytes"], self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -199,13 +214,13 @@ class MediaArchive(DataSource):
         return MediaReader(o["path"], int(o.get("rangeBytes", 16 << 20)), int(o.get("retries", 3)), int(o.get("batchBytes", 4 << 20)))
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"], int(self.options.get("level", 1)))
+        return MediaWriter(self.options["path"], int(self.options.get("level", 1)), overwrite)
 
 
-def write_media(df: DataFrame, path: str) -> None:
-    """Store (id, payload) rows as members of archives at path."""
+def write_media(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Store (id, payload) rows as members of archives at path, beside those there or (mode overwrite) in their place."""
     df.sparkSession.dataSource.register(MediaArchive)
-    df.select("id", "payload").write.format("media_archive").mode("append").option("path", path).save()
+    df.select("id", "payload").write.format("media_archive").mode(mode).option("path", path).save()
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
