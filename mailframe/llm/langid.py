@@ -33,14 +33,17 @@ from mailframe.llm.textops import mix64, slices
 PER_LANGUAGE, STRETCH, DIM, PIECE, CACHE, UNDECIDED = 600, 80, 1 << 17, 48, 400_000, "und"
 #: Signs that count as parts of words in patterns, but are numbers and no letters: superscripts, fractions, circled and Roman numerals and the like.
 _NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTER = rf"[^\W\d_{_NUMBERS}]"
-_WORD = re.compile(rf"{_LETTER}+(?:['’]{_LETTER}+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_NUMBER = re.compile(f"[{_NUMBERS}]")
 _MASK = np.uint64(DIM - 1)
 
 
 def split(text: str | None) -> list[str]:
     """Lower-cased runs of letters, long ones in pieces."""
-    found = _WORD.findall(text.lower()) if text else []
+    text = (text or "").lower()
+    if not text.isascii() and _NUMBER.search(text):
+        text = _NUMBER.sub(" ", text)
+    found = _WORD.findall(text)
     if any(len(w) > PIECE for w in found):
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
     return found

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mailframe.llm.common import fresh
 
-ARRIVAL_ROWS, TARGET_BYTES, FANOUT, LANE_SHARDS, TASK_BYTES = 1_000, 16 << 20, 4, 4_096, 64 << 20
+ARRIVAL_ROWS, TARGET_BYTES, FANOUT, LANE_SHARDS = 1_000, 16 << 20, 4, 4_096
 MANIFEST = "shard string, files array<string>, version long, tier int, n_rows long, n_bytes long, place long, first string"
 FIELDS = [c.split(" ")[0] for c in MANIFEST.split(", ")]
 
@@ -205,10 +205,10 @@ def compact(spark: SparkSession, path: str, schema, target_bytes: int = TARGET_B
     version = max(versions(spark, path), default=0) + 1
     now = manifest(spark, path)
     staged = f"{path}/_rows/plan-{uuid.uuid4().hex}"
-    plan(now, target_bytes, fanout, ordered, lane_shards).join(now.select("shard", "files", "first", "n_bytes"), "shard").write.parquet(staged)  # the plan is fixed before data move
+    plan(now, target_bytes, fanout, ordered, lane_shards).join(now.select("shard", "files", "first"), "shard").write.parquet(staged)  # the plan is fixed before data move
     planned = spark.read.parquet(staged)
     moved = planned.filter("members > 1")
-    goals, size = moved.agg(F.countDistinct("goal"), F.sum("n_bytes")).first()
+    goals = moved.agg(F.countDistinct("goal")).first()[0]
     if not goals:
         return version - 1
     kept = now.join(planned.filter("members = 1").select("shard"), "shard")
@@ -217,9 +217,8 @@ def compact(spark: SparkSession, path: str, schema, target_bytes: int = TARGET_B
     file, row, goal, since = fresh(rows, "_shard_file", "_shard_row", "_shard", "_shard_from")
     where = moved.select(F.explode("files").alias(file), F.col("goal").alias(goal), F.col("first").alias(since))
     rows = rows.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    # a task for about each TASK_BYTES of Parquet, and none for less than a goal
-    tasks = max(1, min(goals, -(-size // TASK_BYTES) * 4))
-    rows = rows.join(_small(where), file).repartition(tasks, goal).sortWithinPartitions(goal, since, file, row)
+    # more tasks than goals, so that hashes seldom put two goals into one
+    rows = rows.join(_small(where), file).repartition(3 * goals, goal).sortWithinPartitions(goal, since, file, row)
     rows.drop(file, since, row).write.partitionBy(goal).option("compression", "zstd").parquet(folder)
     made = _listed(spark, folder, schema, F.regexp_extract("file", f"/{goal}=([^/]+)/", 1))
     made = made.groupBy("shard").agg(F.array_sort(F.collect_list("file")).alias("files"), F.sum("n_rows").alias("n_rows"), F.sum("size").alias("n_bytes"))
