@@ -1,15 +1,18 @@
 """Personal data by pattern and by a linear-chain conditional random field over word shapes.
 
 Base spans come from fixed patterns for e-mail addresses, IP addresses, card numbers and phone numbers. The
-field labels white-space separated words with begin/inside tags of the same kinds; its features are shapes
-of the word and its neighbours, never the words themselves. It is trained from a small labelled table (by
-default one that sample_table() makes from templates, the same each time) and decoded by Viterbi over all
-runs of a batch at once. A word without a digit or @ can only be outside: such words cut a text into runs
-that are independent of each other, so only runs are decoded, with the words beside them as context. Found
-spans that overlap no base span are added.
-
-Defined cases: a null text is empty; texts without digits and @ have no spans; offsets are code points,
-ends exclusive; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
+field labels every white-space separated word of a text with begin/inside tags of the same kinds and of names, postal addresses,
+national identity numbers and secrets; its features are shapes of the word and its neighbours, and which of a few
+cue words (titles, kinds of streets, names of secrets) they are. It is trained from a small labelled table (by
+default one that sample_table() makes from templates, the same each time). A text is one sequence, decoded by Viterbi for all texts of a batch at once.
+Scores of shapes are kept, so a word costs a look-up. Where the outside tag leads by more than any transitions could make up for, it
+is on a best path for certain; only what lies between such words needs the recursion, with the tags next to it given. Found
+spans that overlap no base span are added, if card numbers pass Luhn's rule, IP addresses have parts of at most 255, and postal
+addresses have a number.
+
+Defined cases: a null text is empty; a text without words has no spans; offsets are code points,
+ends exclusive; where paths tie, outside tags win next to settled words and the label that comes first elsewhere; repeated rows give equal results; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from mailframe.llm import crf
 
 KINDS = ("email", "ip", "card", "phone")
+MORE = ("name", "address", "national_id", "secret")
+ALL = (*KINDS, *MORE)
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -36,11 +41,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
-_SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
+#: Cue words, by kind of cue; a feature is the kind, never the word.
+CUES = {
+    **dict.fromkeys("mr mrs ms miss dr prof sir herr frau señor señora sr sra monsieur madame mme".split(), "title"),
+    **dict.fromkeys("street st road rd avenue ave lane ln drive boulevard blvd way square platz weg gasse allee".split(), "street"),
+    **dict.fromkeys("calle avenida rue plaza".split(), "calle"),
+    **dict.fromkeys("token key secret password passwd pwd apikey api_key secret_key access_key access_token auth_token bearer credential".split(), "secret"),
+    **dict.fromkeys("ssn social nif dni nie passport".split(), "id"),
+}
 #: The same matches as IP: only the first digit of a run of digits can begin one, so long runs take linear time.
 _IP_LINEAR = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-_DIM = 1 << 12
+_DIM, PART = 1 << 14, 1 << 16
+_EDGE = ".,;:!?\"'<>[]{}#*&%$~|`^="
 
 
 def luhn(digits: str) -> bool:
@@ -91,79 +104,98 @@ _CLASSES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "
 def shape(word: str) -> str:
     """Letters as x and X, digits as d, with the lengths of digit runs; other signs stay; long runs of one class are cut short."""
     s = word[:64].translate(_CLASSES)
-    return re.sub(r"([xX])\1{2,}", r"\1\1", re.sub(r"[^\x00-\x7f]+", "u", s))
+    if not s.isascii():
+        s = "".join(c if c.isascii() else "x" if c.islower() else "X" if c.isupper() else "u" for c in s)
+    return re.sub(r"([xXu])\1{2,}", r"\1\1", s)
 
 
-def _features(left: str, word: str, right: str) -> list[int]:
-    s = shape(word)
+_LONG = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+_STRASSE = re.compile(r".+stra(ß|ss)e$")
+
+
+def _kind_of_word(word: str) -> str:
+    """All that features see of a word: its shape, cue, length in steps, and how a long run of letters and digits in it is mixed."""
+    core = word.strip(_EDGE).lower()
+    cue = CUES.get(core) or ("strasse" if _STRASSE.match(core) else CUES.get(re.split("[=:]", core)[0], "") + "=" if re.search("[=:]", core) else "")
+    mixed = ""
+    if m := _LONG.search(word[:256]):
+        run = m[0]
+        digits, lower, upper = (sum(c.isdigit() for c in run), sum(c.islower() for c in run), sum(c.isupper() for c in run))
+        mixed = f"{min(len(run), 40) // 8}{'d' * (digits > 2)}{'x' * (lower > 2)}{'X' * (upper > 2)}{'h' * bool(re.fullmatch('[0-9a-f]+|[0-9A-F]+', run))}"
+    return f"{shape(word)} {cue} {min(len(word), 40) // 4} {mixed}"
+
+
+def _hashed(names: list[str]) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % _DIM for x in names]
+
+
+def _features(kind: str) -> tuple[list[int], list[int], list[int]]:
+    """Features of a word's own tag, of the tag of the word after it, and of the one before it."""
+    s, cue, size, mixed = kind.rsplit(" ", 3)
     digits = s.count("d")
     coarse = re.sub(r"(.)\1+", r"\1", s)
     signs = "".join(c for c in "@+.-()" if c in s)
-    raw = [f"s{s}", f"c{coarse}", f"n{min(digits, 20)}", f"g{signs}", f"l{re.sub(r'(.)\1+', r'\1', shape(left))[:6]}", f"r{re.sub(r'(.)\1+', r'\1', shape(right))[:6]}", f"p{s[:2]}", f"e{s[-2:]}", f"ng{min(digits, 20)}{signs}"]
-    return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % _DIM for x in raw]
+    own = [f"s{s[:24]}", f"c{coarse[:16]}", f"n{min(digits, 20)}", f"g{signs}", f"p{s[:2]}", f"e{s[-2:]}", f"ng{min(digits, 20)}{signs}", f"q{cue}", f"z{size}", f"m{mixed}", f"mp{mixed}{s[:2]}"]
+    return _hashed(own), _hashed([f"l{coarse[:6]}", f"lq{cue}"]), _hashed([f"r{coarse[:6]}", f"rq{cue}"])
 
 
 def sample_table(n: int = 60, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """A small labelled table of (words, tags) made from templates; tags are O, B-kind, I-kind."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    name = lambda: "".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randint(3, 8)))
+    pick = lambda signs, k: "".join(rng.choice(signs) for _ in range(k))
+    name = lambda: rng.choice(["", "é", "ñ"][: 1 + (rng.random() < 0.1) * 2]) + pick("abcdefghiklmnorstu", rng.randint(1, 9))
+    big = lambda: name().capitalize()
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    quoted = lambda x: rng.choice([x, f'"{x}"', f"'{x}'", f"{x},", f'"{x}";', f'"{x}"{rng.choice(["###", ".", "%%%", "&&&"])}'])
+    end = lambda x: x + rng.choice(["", "", "", ",", ".", ";", ")", "%%%", "***", "###"])
+    secret = lambda: rng.choice([pick("0123456789abcdef", rng.choice([32, 40, 40, 64])), f"AKIA{pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)}", f"sk-{pick(alnum, rng.randint(24, 48))}", f"ghp_{pick(alnum, 36)}", f"xoxb-{num(11)}-{pick(alnum, 24)}", pick(alnum, rng.randint(24, 44))])
+    label = lambda: rng.choice(["token", "key", "secret", "password", "api_key", "secret_key", "access_token"])
+    title = lambda: rng.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Señor", "Señora", "Mme"])
+    street = lambda: rng.choice(["Street", "St.", "Road", "Rd.", "Avenue", "Ave.", "Lane", "Drive", "Boulevard", "Way"])
+    tagged = lambda kind, words: [(w, f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(words)]
+    out = lambda *words: [(w, "O") for w in words]
     makers = {
-        "email": [lambda: [f"{name()}.{name()}@{name()}.com"], lambda: [f"{name()}{num(2)}@{name()}.org,"]],
-        "ip": [lambda: [f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}"]],
-        "card": [lambda: [num(4), num(4), num(4), num(4)], lambda: [f"{num(4)}-{num(4)}-{num(4)}-{num(4)}"], lambda: [num(16)]],
-        "phone": [lambda: [f"({num(3)})", f"{num(3)}-{num(4)}"], lambda: [f"{num(3)}-{num(3)}-{num(4)}"], lambda: [f"+{num(2)}", num(3), num(7)], lambda: [f"{num(3)}.{num(3)}.{num(4)}"]],
+        "email": [lambda: tagged("email", [end(f"{name()}.{name()}@{name()}.com")]), lambda: tagged("email", [end(f"{name()}{num(2)}@{name()}.org")])],
+        "ip": [lambda: tagged("ip", [end(f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}")])],
+        "card": [lambda: tagged("card", [num(4), num(4), num(4), end(num(4))]), lambda: tagged("card", [end(f"{num(4)}-{num(4)}-{num(4)}-{num(4)}")]), lambda: tagged("card", [end(num(16))])],
+        "phone": [lambda: tagged("phone", [f"({num(3)})", end(f"{num(3)}-{num(4)}")]), lambda: tagged("phone", [end(f"{num(3)}-{num(3)}-{num(4)}")]), lambda: tagged("phone", [f"+{num(rng.randint(1, 2))}", num(3), end(num(7))]), lambda: tagged("phone", [f"+{num(1)}", f"({num(3)})", end(f"{num(3)}-{num(4)}")]), lambda: tagged("phone", [end(f"{num(3)}.{num(3)}.{num(4)}")])],
+        "name": [lambda: out(title()) + tagged("name", [big(), end(big())]), lambda: out(title()) + tagged("name", [end(big())])],
+        "address": [lambda: tagged("address", [num(rng.randint(1, 4)), big(), end(street())]), lambda: tagged("address", [num(rng.randint(1, 4)), big(), big(), end(street())]), lambda: tagged("address", [f"{big()}straße", end(num(rng.randint(1, 3)))]), lambda: tagged("address", [rng.choice(["Calle", "Rue", "Avenida"]), big(), end(num(rng.randint(1, 3)))])],
+        "national_id": [lambda: tagged("national_id", [end(f"{num(3)}-{num(2)}-{num(4)}")]), lambda: out("SSN:") + tagged("national_id", [end(f"{num(3)}-{num(2)}-{num(4)}")]), lambda: out("DNI") + tagged("national_id", [end(f"{num(8)}{pick('ABCDEFGHJKLMNPQRSTVWXYZ', 1)}")])],
+        "secret": [lambda: out(label(), rng.choice(["=", ":", "is"])) + tagged("secret", [quoted(secret())]), lambda: out(f"{label()}:") + tagged("secret", [quoted(secret())]), *[lambda: tagged("secret", [f"{label()}{rng.choice('=:')}{quoted(secret())}"])] * 3, lambda: tagged("secret", [end(f"AKIA{pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)}")]), lambda: tagged("secret", [end(f"sk-{pick(alnum, rng.randint(24, 48))}")])],
     }
-    plain = [lambda: [num(4)], lambda: [num(2)], lambda: [f"{num(2)}.{num(2)}.{num(4)}"], lambda: [f"{num(1)}.{num(2)}"], lambda: [f"{num(4)}-{num(2)}-{num(2)}"], lambda: [f"{name()}{num(2)}"], lambda: [f"v{num(1)}.{num(1)}"], lambda: ["@"], lambda: [f"@{name()}"], lambda: [f"{num(2)}%"], lambda: [f"{name().upper()}{num(6)}{name().upper()}"], lambda: [num(3), num(3)], lambda: [f"{num(1)},{num(3)}"]]
+    plain = [lambda: out(end(num(rng.randint(1, 12)))), lambda: out(f"{num(2)}.{num(2)}.{num(4)}"), lambda: out(end(f"{num(1)}.{num(2)}")), lambda: out(end(f"{num(4)}-{num(2)}-{num(2)}")), lambda: out(f"{name()}{num(2)}"), lambda: out(f"v{num(1)}.{num(1)}"), lambda: out("@"), lambda: out(f"@{name()}"), lambda: out(f"{num(2)}%"), lambda: out(f"{name().upper()}{num(6)}{name().upper()}"), lambda: out(num(3), num(3)), lambda: out(f"{num(1)},{num(3)}"),
+             lambda: out(end(big()), end(big())), lambda: out(big(), name(), end(big())), lambda: out(end(name().upper())), lambda: out(f"{name()}-{name()}"), lambda: out(rng.choice(["***", "$$$", "%%%", "###", "=", "-", "--", "|", "=>", "{", "}", "//", "&&&"])), lambda: out(f"{name()}{rng.choice(['***', '$$$', '%%%', '###', '!!!'])}"), lambda: out(f"https://{name()}.com/{name()}/{name()}-{num(4)}"), lambda: out(f"{name()}_{name()}({name()})"), lambda: out(f"({num(4)})"), lambda: out(label(), name()), lambda: out(rng.choice(["way", "street", "road", "lane", "drive", "key", "secret", "Way", "Key"]), name()),
+             lambda: out(title().lower(), name()), lambda: out(f"{num(2)}:{num(2)}:{num(2)}"), lambda: out("-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))), lambda: out(name() + name() + name() + name()), lambda: out(num(rng.randint(1, 4)), name(), name()), lambda: out(num(rng.randint(1, 4)), big(), name()),
+             lambda: out(*[big()] * rng.randint(3, 40)), lambda: out(*[f"{big()}."] * rng.randint(3, 40)), lambda: out(*(f"{big()}{rng.choice(['', '.', ','])}" for _ in range(rng.randint(3, 12)))), lambda: out(*[big(), f"{big()}."] * rng.randint(2, 6)), lambda: out(*[name()] * rng.randint(3, 9)), lambda: out(*[end(num(rng.randint(1, 4)))] * rng.randint(2, 3), big(), f"{big()}.")]
     table = []
     for i in range(n):
-        for kind in (*KINDS, None, None, None):
-            words = [name() for _ in range(rng.randint(1, 3))]
-            tags = ["O"] * len(words)
-            made = rng.choice(makers[kind] if kind else plain)()
-            words += made
-            tags += [f"{'B' if j == 0 else 'I'}-{kind}" if kind else "O" for j in range(len(made))]
+        for kind in (*ALL, *[None] * 12):
+            row = out(*(end(name()) if rng.random() < 0.8 else big() for _ in range(rng.randint(1, 4))))
+            row += rng.choice(makers[kind] if kind else plain)()
             if i % 4 == 0:
-                extra = rng.choice(plain)()
-                words, tags = words + extra, tags + ["O"] * len(extra)
-            words, tags = words + [name()], tags + ["O"]
-            table.append((words, tags))
+                row += rng.choice(plain)()
+            row += out(*(end(name()) for _ in range(rng.randint(0, 3))))
+            table.append(([w for w, _ in row], [t for _, t in row]))
     return table
 
 
+def _sides(kinds: list[str]) -> list[list[int]]:
+    """Features of the tags of a sequence of words, with what their neighbours add."""
+    made = [_features(k) for k in kinds]
+    edge = _hashed(["l", "lq"]), _hashed(["r", "rq"])
+    return [f[0] + (made[i - 1][1] if i else edge[0]) + (made[i + 1][2] if i + 1 < len(made) else edge[1]) for i, f in enumerate(made)]
+
+
 def fit(table: list[tuple[list[str], list[str]]]) -> crf.Model:
     """Train the field on the labelled table."""
-    labels = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-    ids = [_features(ws[i - 1] if i else "", w, ws[i + 1] if i + 1 < len(ws) else "") for ws, _ in table for i, w in enumerate(ws)]
+    labels = ["O", *(f"{p}-{k}" for k in ALL for p in "BI")]
+    ids = [f for ws, _ in table for f in _sides([_kind_of_word(w) for w in ws])]
     token_offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     offsets = np.concatenate([[0], np.cumsum([len(ws) for ws, _ in table])])
     tags = np.array([labels.index(t) for _, ts in table for t in ts])
-    return crf.train(np.array([x for f in ids for x in f]), token_offsets, tags, offsets, labels, _DIM, epochs=25)
-
-
-def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str, str]]:
-    """Runs of neighbouring words with a digit or @: their spans, and the words before and after."""
-    run: list[tuple[int, int]] = []
-
-    def told() -> tuple[list[tuple[int, int]], str, str]:
-        a, b = run[0][0], run[-1][1]
-        before, after = text[max(0, a - 70) : a].split(), text[b : b + 70].split()
-        return run, before[-1] if before else "", after[0] if after else ""
-
-    at = 0
-    while m := _TRIGGER.search(text, at):
-        a = m.start()
-        while a > at and not text[a - 1].isspace():
-            a -= 1
-        space = _SPACE.search(text, m.end())
-        b = space.start() if space else len(text)
-        if run and not text[run[-1][1] : a].isspace():
-            yield told()
-            run = []
-        run.append((a, b))
-        at = b
-    if run:
-        yield told()
+    return crf.train(np.array([x for f in ids for x in f]), token_offsets, tags, offsets, labels, _DIM, epochs=12)
 
 
 class Tagger:
@@ -171,49 +203,100 @@ class Tagger:
 
     def __init__(self, model: crf.Model):
         self.model = model
-        self._known: dict[tuple[str, str, str], np.ndarray] = {}
-
-    def _score(self, key: tuple[str, str, str]) -> np.ndarray:
-        if key not in self._known:
-            if len(self._known) > 100_000:
-                self._known.clear()
-            self._known[key] = self.model.weights[_features(*key)].sum(0, dtype=np.float64)
-        return self._known[key]
+        self._kinds: dict[str, int] = {}
+        self._words: dict[str, int] = {}
+        self._scores = np.zeros((64, 3, len(model.labels)), np.float32)
+        self._kind("")  # number 0: beyond a text's ends
+        edge = _hashed(["l", "lq"]), _hashed(["r", "rq"])
+        self._scores[0] = [np.zeros(len(model.labels)), model.weights[edge[0]].sum(0), model.weights[edge[1]].sum(0)]
+        # by how much the outside tag must lead each other tag, to be on a best path whatever its neighbours are
+        into = np.vstack([model.start, model.transitions])
+        onto = np.hstack([np.zeros((len(model.labels), 1)), model.transitions])
+        self.lead = (into - into[:, :1]).max(0) + (onto - onto[:1]).max(1)
+
+    def _kind(self, kind: str) -> int:
+        at = self._kinds.get(kind)
+        if at is None:
+            at = self._kinds[kind] = len(self._kinds)
+            if at == len(self._scores):
+                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+            if kind:
+                self._scores[at] = [self.model.weights[f].sum(0) for f in _features(kind)]
+        return at
+
+    def _numbers(self, words: list[str]) -> list[int]:
+        known = self._words
+        get = known.get
+        numbers = [get(w, -1) for w in words]
+        if -1 in numbers:
+            if len(known) > 300_000 or len(self._kinds) > 100_000:
+                known.clear()
+                if len(self._kinds) > 100_000:
+                    self.__init__(self.model)
+                    known = self._words
+            for w in set(words):
+                if w not in known:
+                    known[w] = self._kind(_kind_of_word(w))
+            numbers = [known[w] for w in words]
+        return numbers
+
+    def tags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The label of every word of all texts on a best path of each text, and offsets of the texts."""
+        each = [t.split() for t in texts]
+        flat = [w for ws in each for w in ws]
+        lengths = np.array([len(ws) for ws in each], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        labels = np.zeros(len(flat), np.int8)
+        if not flat:
+            return labels, offsets
+        number = np.array(self._numbers(flat), np.int64)
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1][lengths > 0]] = True
+        last = np.append(first[1:], True)
+        before, after = np.where(first, 0, np.roll(number, 1)), np.where(last, 0, np.roll(number, -1))
+        for lo in range(0, len(flat), PART):  # which words are settled, without the scores of all at once
+            part = slice(lo, lo + PART)
+            scores = self._scores[number[part], 0] + self._scores[before[part], 1] + self._scores[after[part], 2]
+            labels[part] = ~(scores[:, :1] - scores[:, 1:] >= self.lead[1:]).all(1)
+        open_ = np.flatnonzero(labels)
+        labels[:] = 0
+        if len(open_):
+            scores = (self._scores[number[open_], 0] + self._scores[before[open_], 1] + self._scores[after[open_], 2]).astype(np.float64)
+            run = np.flatnonzero(np.concatenate([[True], (np.diff(open_) > 1) | first[open_[1:]]]))
+            end = np.append(run[1:], len(open_)) - 1
+            scores[run] += np.where(first[open_[run]][:, None], self.model.start, self.model.transitions[0])
+            scores[end] += np.where(last[open_[end]][:, None], 0.0, self.model.transitions[:, 0])
+            free = crf.Model(self.model.labels, self.model.weights, self.model.transitions, np.zeros(len(self.model.labels)))
+            labels[open_] = crf.viterbi(free, scores, np.append(run, len(open_)))
+        return labels, offsets
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        owner, spans, scores, lengths = [], [], [], []
-        for i, text in enumerate(texts):
-            if "@" not in text and not _DIGIT.search(text):
-                continue
-            for run, before, after in _runs(text):
-                words = [before, *(text[a:b] for a, b in run), after]
-                scores += [self._score((words[j], words[j + 1], words[j + 2])) for j in range(len(run))]
-                spans += run
-                owner.append(i)
-                lengths.append(len(run))
+        tags, offsets = self.tags(texts)
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        if not owner:
-            return out
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        tags = crf.viterbi(self.model, np.array(scores), offsets)
-        for i, a, b in zip(owner, offsets, offsets[1:], strict=False):
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(tags), side="right") - 1).tolist():
             now = None
-            for t in range(a, b):
-                label = self.model.labels[tags[t]]
+            for tag, m in zip(tags[offsets[i] : offsets[i + 1]].tolist(), _WORD.finditer(texts[i]), strict=True):
+                label = self.model.labels[tag]
                 kind = label[2:]
-                start, end = spans[t]
                 if label[0] == "I" and now and now[0] == kind:
-                    now = (kind, now[1], end)
+                    now = (kind, now[1], m.end())
                     out[i][-1] = now
-                elif label != "O":
-                    now = (kind, start, end)
+                elif tag:
+                    now = (kind, *m.span())
                     out[i].append(now)
                 else:
                     now = None
         return out
 
 
-_EDGE = ".,;:!?\"'<>[]{}"
+
+#: Added spans of these kinds pass the check that base spans pass.
+_CHECKS = {
+    "card": lambda x: 13 <= len(d := re.sub("[^0-9]", "", x)) <= 19 and luhn(d),
+    "address": lambda x: any(c.isdigit() for c in x),
+    "ip": lambda x: len(p := re.findall("[0-9]+", x)) == 4 and all(map(_octet, p)),
+}
+_ASSIGNED = re.compile(r"[A-Za-z_]+[=:](?=.)")
 
 
 def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -225,13 +308,17 @@ def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[tuple[str,
         taken = sorted((a, b) for _, a, b in base)
         added = []
         for kind, a, b in extra:
+            if kind == "secret" and (m := _ASSIGNED.match(text, a, b)):
+                a = m.end()
             while a < b and text[a] in _EDGE:
                 a += 1
             while b > a and text[b - 1] in _EDGE:
                 b -= 1
+            if kind in _CHECKS and not _CHECKS[kind](text[a:b]):
+                continue
             if a < b and not any(x < b and a < y for x, y in taken):
                 added.append((kind, a, b))
-        everything = sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+        everything = sorted(base + added, key=lambda s: (ALL.index(s[0]), s[1]))
         out.append((base, everything))
     return out
 
@@ -240,7 +327,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_name long, n_address long, n_national_id long, n_secret long"
 
 
 def detect(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
@@ -249,14 +336,14 @@ def detect(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]):
         tagger = Tagger(model)
-        schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), *((f"n_{k}", pa.int64()) for k in MORE)])
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 rows = []
                 for d, (base, spans) in zip(part["doc_id"].to_pylist(), find(part["text"].to_pylist(), tagger), strict=True):
                     counts = [sum(s[0] == k for s in base) for k in KINDS]
-                    rows.append((d, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+                    rows.append((d, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), *(sum(s[0] == k for s in spans) for k in MORE)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS)
