@@ -5,8 +5,9 @@ field labels every white-space separated word of a text with begin/inside tags o
 national identity numbers and secrets; its features are shapes of the word and its neighbours, and which of a few
 cue words (titles, kinds of streets, names of secrets) they are. It is trained from a small labelled table (by
 default one that sample_table() makes from templates, the same each time). A text is one sequence, decoded by Viterbi for all texts of a batch at once.
-Scores of shapes are kept, so a word costs a look-up. Where the outside tag leads by more than any transitions could make up for, it
-is on a best path for certain; only what lies between such words needs the recursion, with the tags next to it given. Found
+Scores of shapes are kept, so a word costs a look-up. Where every stretch of other tags around a word would score less than
+outside tags, by a bound on what transitions can add, the outside tag is on a best path for certain; only what lies between such words needs
+the recursion, with the tags next to it given. Found
 spans that overlap no base span are added, if card numbers pass Luhn's rule, IP addresses have parts of at most 255, and postal
 addresses have a number.
 
@@ -52,7 +53,7 @@ CUES = {
 }
 #: The same matches as IP: only the first digit of a run of digits can begin one, so long runs take linear time.
 _IP_LINEAR = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-_DIM, PART = 1 << 14, 1 << 16
+_DIM = 1 << 14
 _EDGE = ".,;:!?\"'<>[]{}#*&%$~|`^="
 
 
@@ -103,26 +104,38 @@ _CLASSES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "
 
 def shape(word: str) -> str:
     """Letters as x and X, digits as d, with the lengths of digit runs; other signs stay; long runs of one class are cut short."""
+    if word.isalpha() and word.islower():
+        return "x" if len(word) == 1 else "xx"
     s = word[:64].translate(_CLASSES)
     if not s.isascii():
         s = "".join(c if c.isascii() else "x" if c.islower() else "X" if c.isupper() else "u" for c in s)
-    return re.sub(r"([xXu])\1{2,}", r"\1\1", s)
+    return _REPEAT.sub(r"\1\1", s)
 
 
+_REPEAT, _SIGN, _HEX = re.compile(r"([xXu])\1{2,}"), re.compile("[=:]"), re.compile("[0-9a-f]+|[0-9A-F]+")
 _LONG = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _STRASSE = re.compile(r".+stra(ß|ss)e$")
 
 
+def _mixed(word: str) -> str:
+    """How the first long run of letters and digits is mixed."""
+    if len(word) < 16 or not (m := _LONG.search(word[:256])):
+        return ""
+    run = m[0]
+    digits, lower, upper = (sum(c.isdigit() for c in run), sum(c.islower() for c in run), sum(c.isupper() for c in run))
+    return f"{min(len(run), 40) // 8}{'d' * (digits > 2)}{'x' * (lower > 2)}{'X' * (upper > 2)}{'h' * bool(_HEX.fullmatch(run))}"
+
+
 def _kind_of_word(word: str) -> str:
     """All that features see of a word: its shape, cue, length in steps, and how a long run of letters and digits in it is mixed."""
     core = word.strip(_EDGE).lower()
-    cue = CUES.get(core) or ("strasse" if _STRASSE.match(core) else CUES.get(re.split("[=:]", core)[0], "") + "=" if re.search("[=:]", core) else "")
-    mixed = ""
-    if m := _LONG.search(word[:256]):
-        run = m[0]
-        digits, lower, upper = (sum(c.isdigit() for c in run), sum(c.islower() for c in run), sum(c.isupper() for c in run))
-        mixed = f"{min(len(run), 40) // 8}{'d' * (digits > 2)}{'x' * (lower > 2)}{'X' * (upper > 2)}{'h' * bool(re.fullmatch('[0-9a-f]+|[0-9A-F]+', run))}"
-    return f"{shape(word)} {cue} {min(len(word), 40) // 4} {mixed}"
+    cue = CUES.get(core, "")
+    if not cue:
+        if "=" in core or ":" in core:
+            cue = CUES.get(_SIGN.split(core)[0], "") + "="
+        elif "stra" in core and _STRASSE.match(core):
+            cue = "strasse"
+    return f"{shape(word)} {cue} {min(len(word), 40) // 4} {_mixed(word)}"
 
 
 def _hashed(names: list[str]) -> list[int]:
@@ -205,23 +218,25 @@ class Tagger:
         self.model = model
         self._kinds: dict[str, int] = {}
         self._words: dict[str, int] = {}
+        t, start = model.transitions, model.start
+        # what a stretch of other tags can gain over outside tags by transitions: for each word, and once for its two ends
+        self.inside = (t[1:, 1:] - t[0, 0]).max()
+        self.ends = max((t[0, 1:] - t[0, 0]).max(), (start[1:] - start[0]).max()) + max((t[1:, 0] - t[0, 0]).max(), 0.0) - self.inside
         self._scores = np.zeros((64, 3, len(model.labels)), np.float32)
+        self._most = np.zeros((64, 3))  # what any other tag gains over the outside tag at most, by the word and by those beside it
         self._kind("")  # number 0: beyond a text's ends
-        edge = _hashed(["l", "lq"]), _hashed(["r", "rq"])
-        self._scores[0] = [np.zeros(len(model.labels)), model.weights[edge[0]].sum(0), model.weights[edge[1]].sum(0)]
-        # by how much the outside tag must lead each other tag, to be on a best path whatever its neighbours are
-        into = np.vstack([model.start, model.transitions])
-        onto = np.hstack([np.zeros((len(model.labels), 1)), model.transitions])
-        self.lead = (into - into[:, :1]).max(0) + (onto - onto[:1]).max(1)
 
     def _kind(self, kind: str) -> int:
         at = self._kinds.get(kind)
         if at is None:
             at = self._kinds[kind] = len(self._kinds)
             if at == len(self._scores):
-                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+                self._scores, self._most = (np.concatenate([x, np.zeros_like(x)]) for x in (self._scores, self._most))
             if kind:
                 self._scores[at] = [self.model.weights[f].sum(0) for f in _features(kind)]
+            else:
+                self._scores[at, 1:] = [self.model.weights[f].sum(0) for f in (_hashed(["l", "lq"]), _hashed(["r", "rq"]))]
+            self._most[at] = (self._scores[at, :, 1:].astype(np.float64) - self._scores[at, :, :1]).max(1)
         return at
 
     def _numbers(self, words: list[str]) -> list[int]:
@@ -229,17 +244,25 @@ class Tagger:
         get = known.get
         numbers = [get(w, -1) for w in words]
         if -1 in numbers:
-            if len(known) > 300_000 or len(self._kinds) > 100_000:
-                known.clear()
-                if len(self._kinds) > 100_000:
-                    self.__init__(self.model)
-                    known = self._words
-            for w in set(words):
-                if w not in known:
-                    known[w] = self._kind(_kind_of_word(w))
+            if len(known) > 500_000 or len(self._kinds) > 100_000:
+                self.__init__(self.model)
+                known = self._words
+                numbers = [-1] * len(words)
+            for w in {w for w, n in zip(words, numbers, strict=True) if n < 0}:
+                known[w] = self._kind(_kind_of_word(w))
             numbers = [known[w] for w in words]
         return numbers
 
+    def _open(self, gain: np.ndarray) -> np.ndarray:
+        """Places that some stretch of other tags might hold: the sum of the gains of a stretch around them, with its ends, is above 0.
+
+        Everywhere else all such stretches lose, so outside tags there are on a best path.
+        """
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        lowest = np.minimum.accumulate(total)[:-1]  # of the sums up to a start at or before each place
+        highest = np.maximum.accumulate(total[:0:-1])[::-1]  # of the sums up to an end at or after it
+        return np.flatnonzero(highest - lowest + self.ends > -1e-6)
+
     def tags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The label of every word of all texts on a best path of each text, and offsets of the texts."""
         each = [t.split() for t in texts]
@@ -254,14 +277,14 @@ class Tagger:
         first[offsets[:-1][lengths > 0]] = True
         last = np.append(first[1:], True)
         before, after = np.where(first, 0, np.roll(number, 1)), np.where(last, 0, np.roll(number, -1))
-        for lo in range(0, len(flat), PART):  # which words are settled, without the scores of all at once
-            part = slice(lo, lo + PART)
-            scores = self._scores[number[part], 0] + self._scores[before[part], 1] + self._scores[after[part], 2]
-            labels[part] = ~(scores[:, :1] - scores[:, 1:] >= self.lead[1:]).all(1)
-        open_ = np.flatnonzero(labels)
-        labels[:] = 0
+        # words are settled by these bounds already, or else by what their scores say
+        gain = self._most[number, 0] + self._most[before, 1] + self._most[after, 2] + self.inside
+        open_ = self._open(gain)
+        scores = (self._scores[number[open_], 0] + self._scores[before[open_], 1] + self._scores[after[open_], 2]).astype(np.float64)
+        gain[open_] = (scores[:, 1:] - scores[:, :1]).max(1) + self.inside
+        still = np.isin(open_, self._open(gain), assume_unique=True)
+        open_, scores = open_[still], scores[still]
         if len(open_):
-            scores = (self._scores[number[open_], 0] + self._scores[before[open_], 1] + self._scores[after[open_], 2]).astype(np.float64)
             run = np.flatnonzero(np.concatenate([[True], (np.diff(open_) > 1) | first[open_[1:]]]))
             end = np.append(run[1:], len(open_)) - 1
             scores[run] += np.where(first[open_[run]][:, None], self.model.start, self.model.transitions[0])
