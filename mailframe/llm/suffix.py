@@ -9,12 +9,13 @@ are all that an index has to hold (a sparse suffix array), each with the bytes b
    and with which surroundings (the union of the windows that share the anchor: a stretch). An anchor that occurs once
    is in no match. Stretches that are equal byte by byte are repeated in whole: copies, however many, are counted
    before anything is dealt out and never meet in one task as rows.
-2. One of each set of equal stretches whose anchor also occurs with other surroundings goes to an index shard. There
-   batches of stretches get suffix arrays with their longest common prefixes (and the same of what stands
-   before the anchors, reversed); two arrays of equal size merge into one of twice the size, and in a merge a scan
-   of both orders finds the windows that the two arrays share. Each pair of batches meets in just one merge.
-3. Anchors with more than `hot` different surroundings would make a shard's group large. Their windows are counted
-   one by one instead, by the same packed questions as in 1, which is exact and has no hot group.
+2. One of each set of equal stretches whose anchor also occurs with other surroundings goes to a shard of the index, in the batch that its
+   slice arrives with. The index is a family of levels, tables in the shared folder, each of twice as many batches as the one below. A batch's
+   stretches get a suffix array with their longest common prefixes (and the same of what stands
+   before the anchors, reversed); it is merged with each level, and a scan of both orders finds the windows that they share. It
+   takes up the levels that equal it in size, and is written as the next one. Merges merge sorted orders; nothing is sorted twice.
+3. Anchors with more than `hot` different surroundings would make a shard's group large. They have an exact way of their own: their windows are counted
+   one by one, by the same packed questions as in 1, in which no key is hot.
 4. Slices put the answers together, and remove.
 
 Defined cases: texts are taken as UTF-8, null as empty; matches never cross documents; repeated rows are documents of
@@ -27,17 +28,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe.llm import packed, textops
 from mailframe.llm.common import materialize, release_memory, sorted_groups
 
-LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCH, HOT = 200, 40, 1 << 20, 400_000, 8_000, 512, 2_000
+LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCHES, HOT = 200, 40, 1 << 20, 400_000, 8_000, 4, 2_000
 REPEATED, WHOLE, OPEN, SENDER, CROWDED = 1, 2, 4, 8, 16
 _POSITION = np.uint64(0xFFFFFFFF)
 
@@ -181,15 +184,16 @@ class SuffixArray:
     """Suffixes at anchors in the order of their bytes, with the lengths of common prefixes of neighbours.
 
     `after` and `before` are byte matrices: from the anchor on, and what stands before it, reversed. The second
-    order, of `before`, gives the same for extensions to the left.
+    order, `left`, is that of `before` and gives the same for extensions to the left. `names` are rows of what scan() marks.
     """
 
-    def __init__(self, after: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray):
-        order = np.argsort(np.ascontiguousarray(after).view(f"S{after.shape[1]}").ravel(), kind="stable")
-        self.after, self.before, self.low, self.high, self.names = after[order], before[order], low[order], high[order], names[order]
-        self.common = self._neighbours(self.after)
-        self.left = np.argsort(np.ascontiguousarray(self.before).view(f"S{before.shape[1]}").ravel(), kind="stable")
-        self.left_common = self._neighbours(self.before[self.left])
+    def __init__(self, after: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray, left: np.ndarray | None = None):
+        if left is None:  # new suffixes, in any order
+            order = np.argsort(_keys(after), kind="stable")
+            after, before, low, high, names = after[order], before[order], low[order], high[order], names[order]
+            left = np.argsort(_keys(before), kind="stable")
+        self.after, self.before, self.low, self.high, self.names, self.left = after, before, low, high, names, left
+        self.common, self.left_common = self._neighbours(after), self._neighbours(before[left])
 
     @staticmethod
     def _neighbours(rows: np.ndarray) -> np.ndarray:
@@ -205,7 +209,26 @@ class SuffixArray:
 
     @staticmethod
     def merged(a: SuffixArray, b: SuffixArray) -> SuffixArray:
-        return SuffixArray(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("after", "before", "low", "high", "names")))
+        """One array of two, by merging their two orders; nothing is sorted again."""
+        to_a, to_b = _merge(_keys(a.after), _keys(b.after))
+        n = len(a) + len(b)
+
+        def both(k: str) -> np.ndarray:
+            out = np.empty((n, *getattr(a, k).shape[1:]), getattr(a, k).dtype)
+            out[to_a], out[to_b] = getattr(a, k), getattr(b, k)
+            return out
+
+        left = np.empty(n, np.int64)
+        left_a, left_b = _merge(_keys(a.before[a.left]), _keys(b.before[b.left]))
+        left[left_a], left[left_b] = to_a[a.left], to_b[b.left]
+        return SuffixArray(*(both(k) for k in ("after", "before", "low", "high", "names")), left)
+
+    def some(self, rows: np.ndarray) -> SuffixArray:
+        """The array of some of the suffixes, given by ascending places."""
+        place = np.full(len(self), -1)
+        place[rows] = np.arange(len(rows))
+        left = place[self.left]
+        return SuffixArray(*(getattr(self, k)[rows] for k in ("after", "before", "low", "high", "names")), left[left >= 0])
 
     def shared(self, depth: int) -> np.ndarray:
         """Rows that have at least depth bytes in common with a neighbour: only these can share a window."""
@@ -222,7 +245,7 @@ class SuffixArray:
         some = self.shared(gram)
         if len(some) < 0.8 * len(self):
             if len(some):
-                SuffixArray(*(getattr(self, k)[some] for k in ("after", "before", "low", "high", "names"))).scan(length, gram, found)
+                self.some(some).scan(length, gram, found)
             return
         left = np.empty(len(self), np.int64)
         for l in range(int(self.low.min(initial=0)), int(self.high.max(initial=-1)) + 1):  # noqa: E741
@@ -237,30 +260,37 @@ class SuffixArray:
             found[self.names[own[order[:-1][same]]], l] = True
 
 
-class Family:
-    """Suffix arrays whose sizes are powers of two of a batch: a new one merges with its equals, as in counting."""
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings that compare like them (but for zeros at their ends)."""
+    return np.ascontiguousarray(rows).view(f"S{max(1, rows.shape[1])}").ravel()
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.levels = length, gram, []
 
-    def add(self, new: SuffixArray, found: np.ndarray) -> None:
-        new.scan(self.length, self.gram, found)
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            new = self._merge(self.levels.pop()[1], new, found)
-            rank += 1
-        self.levels.append((rank, new))
+def _merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of two sorted arrays in the sorted whole."""
+    to_b = np.searchsorted(a, b, side="right") + np.arange(len(b))
+    free = np.ones(len(a) + len(b), bool)
+    free[to_b] = False
+    return np.flatnonzero(free), to_b
 
-    def finish(self, found: np.ndarray) -> None:
-        """Merge what is left, so that all batches have met."""
-        while len(self.levels) > 1:
-            (_, b), (rank, a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._merge(a, b, found)))
 
-    def _merge(self, a: SuffixArray, b: SuffixArray, found: np.ndarray) -> SuffixArray:
-        out = SuffixArray.merged(a, b)
-        out.scan(self.length, self.gram, found)
-        return out
+def carry(ranks: set[int]) -> int:
+    """The rank at which a new array ends up among these: it takes up equals, one after the other, as in counting."""
+    rank = 0
+    while rank in ranks:
+        rank += 1
+    return rank
+
+
+def add(levels: dict[int, SuffixArray], new: SuffixArray, length: int, gram: int, found: np.ndarray) -> SuffixArray:
+    """Scan a new array, and merged with each level, for equal windows; gives it merged with the levels that it takes up."""
+    rank = carry(set(levels))
+    new.scan(length, gram, found)
+    out = new
+    for k in sorted(levels):
+        both = SuffixArray.merged(out if k < rank else new, levels[k])
+        both.scan(length, gram, found)
+        out = both if k < rank else out
+    return out
 
 
 def _matrix(values: list[bytes], width: int, backwards: bool = False) -> np.ndarray:
@@ -271,38 +301,97 @@ def _matrix(values: list[bytes], width: int, backwards: bool = False) -> np.ndar
     return out
 
 
-def index_shard(shard: pa.Table, length: int, gram: int, batch: int) -> np.ndarray:
-    """found[i, l]: whether the window that starts l bytes before the anchor of row i is in another row as well."""
-    wide = length - gram + 1
-    low, high = shard["low"].to_numpy().astype(np.int64), shard["high"].to_numpy().astype(np.int64)
-    found = np.zeros((len(shard), wide), bool)
-    family = Family(length, gram)
-    for lo in range(0, len(shard), batch):
-        part = shard.slice(lo, batch)
-        rows = np.arange(lo, lo + len(part))
-        family.add(SuffixArray(_matrix(part["after"].to_pylist(), length), _matrix(part["before"].to_pylist(), wide, True), low[rows], high[rows], rows), found)
-    family.finish(found)
-    return found
-
-
-def search(sent: DataFrame, length: int, gram: int, batch: int) -> DataFrame:
-    """slice, range (-1), codes: packed (run, l) pairs of repeated windows, from the index shards."""
+LEVEL = "shard long, rank int, packed binary"
+
+
+def _store(array: SuffixArray, sender: np.ndarray, run: np.ndarray, whole: np.ndarray, names: list[str]) -> bytes:
+    """An array with what tells its suffixes: numbers of slices (and their names), runs, and whether they are known to repeat."""
+    own = array.names
+    return zstandard.compress(pickle.dumps((array.after, array.before, array.low, array.high, array.left, sender[own], run[own], whole[own], names)), 1)
+
+
+def index_shard(new: pa.Table, held: dict[int, bytes], length: int, gram: int) -> tuple[bytes, list[tuple[str, np.ndarray]]]:
+    """One batch's stretches and a shard's levels: the array that the batch becomes, and for each slice its (run, l) pairs of repeated windows."""
+    names, sender = np.unique(new["slice"].to_pylist(), return_inverse=True)
+    names, senders = names.tolist(), [sender]
+    runs, whole = [new["run"].to_numpy().astype(np.int64)], [new["whole"].to_numpy(zero_copy_only=False)]
+    levels, n = {}, len(new)
+    for rank, data in held.items():
+        after, before, low, high, left, of, run, known, own = pickle.loads(zstandard.decompress(data))
+        levels[rank] = SuffixArray(after, before, low, high, np.arange(n, n + len(low)), left)
+        number = {name: i for i, name in enumerate(names)}
+        names += [x for x in own if x not in number]
+        number = {name: i for i, name in enumerate(names)}
+        senders.append(np.array([number[x] for x in own], np.int64)[of])
+        runs.append(run)
+        whole.append(known)
+        n += len(low)
+    sender, run, known = np.concatenate(senders), np.concatenate(runs), np.concatenate(whole)
+    found = np.zeros((n, length - gram + 1), bool)
+    low, high = (new[k].to_numpy().astype(np.int64) for k in ("low", "high"))
+    array = SuffixArray(_matrix(new["after"].to_pylist(), length), _matrix(new["before"].to_pylist(), length - gram + 1, True), low, high, np.arange(len(new)))
+    out = add(levels, array, length, gram, found)
+    found[known] = False  # known already
+    row, l = np.nonzero(found)  # noqa: E741
+    pair = (run.astype(np.uint64)[row] << np.uint64(16)) | l.astype(np.uint64)
+    order = np.argsort(sender[row], kind="stable")
+    ends = np.cumsum(np.bincount(sender[row], minlength=len(names)))
+    return _store(out, sender, run, known, names), [(name, own) for name, own in zip(names, np.split(pair[order], ends[:-1]), strict=True) if len(own)]
+
+
+def search(sent: DataFrame, batches: int, length: int, gram: int) -> DataFrame:
+    """slice, range (-1), codes: packed (run, l) pairs of repeated windows, from an index that takes the stretches batch by batch.
+
+    The index is a table for each of its levels in the shared folder, with a row for each shard; a level's number of
+    batches is a power of two. Each batch is scanned against itself and every level, and taken up with the levels it equals in size.
+    """
+    levels: dict[int, DataFrame] = {}
+    told = None
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for shard in sorted_groups(batches, ["shard"]):
-            found = index_shard(shard, length, gram, batch)
-            found[shard["whole"].to_numpy()] = False  # known already
-            row, l = np.nonzero(found)  # noqa: E741
-            names, number = np.unique(shard["slice"].to_pylist(), return_inverse=True)
-            pair = (shard["run"].to_numpy().astype(np.uint64)[row] << np.uint64(16)) | l.astype(np.uint64)
-            order = np.argsort(number[row], kind="stable")
-            ends = np.cumsum(np.bincount(number[row], minlength=len(names)))
-            for name, own in zip(names, np.split(pair[order], ends[:-1]), strict=True):
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([str(name)]), pa.array([-1], pa.int32()), pa.array([packed.pack(own)], pa.binary())], names=["slice", "range", "codes"])
-
-    dealt = sent.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "slice string, range int, codes binary")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right["rank"].to_pylist(), right["packed"].to_pylist(), strict=True))
+        shard = (left if len(left) else right)["shard"][0].as_py()
+        rank, first = carry(ranks), [None, None, None]
+        if len(left):
+            packed_, pairs = index_shard(left, held, length, gram)
+            rows = [(*first, shard, rank, packed_), *((name, -1, packed.pack(own), None, None, None) for name, own in pairs)]
+        else:  # nothing new in this shard: of the levels that go up, the largest stands for all where it is alone
+            up = sorted(k for k in held if k < rank)
+            rows = [(*first, shard, rank, _join([held[k] for k in up]))] if up else []
+        release_memory()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
+
+    types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["slice", "range", "codes", "shard", "rank", "packed"]
+    for i in range(batches):
+        ranks = set(levels)
+        new = sent.filter(F.col("batch") == i).drop("batch")
+        held = sent.sparkSession.createDataFrame([], LEVEL)
+        for df in levels.values():
+            held = held.unionAll(df)
+        done = materialize(new.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(run, "slice string, range int, codes binary, " + LEVEL), "level")
+        found = done.filter("codes IS NOT NULL").select("slice", "range", "codes")
+        told = found if told is None else told.unionAll(found)
+        rank = carry(ranks)
+        levels = {k: v for k, v in levels.items() if k > rank} | {rank: done.filter("packed IS NOT NULL").select("shard", "rank", "packed")}
+    return told
+
+
+def _join(stored: list[bytes]) -> bytes:
+    """Stored arrays merged into one, without a scan, as they have met already."""
+    if len(stored) == 1:
+        return stored[0]
+    array, sender, run, whole, names = None, [], [], [], []
+    for data in stored:
+        after, before, low, high, left, of, run_, known, own = pickle.loads(zstandard.decompress(data))
+        n = sum(map(len, run))
+        one = SuffixArray(after, before, low, high, np.arange(n, n + len(low)), left)
+        array = one if array is None else SuffixArray.merged(array, one)
+        sender.append(of + len(names))
+        names = names + own
+        run.append(run_)
+        whole.append(known)
+    return _store(array, np.concatenate(sender), np.concatenate(run), np.concatenate(whole), names)
 
 
 def _crowded(found: dict[str, np.ndarray], code: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +469,7 @@ def remove(parts: DataFrame, answers: DataFrame, length: int, gram: int, texts:
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, COLUMNS + (", kept binary" if texts else ""))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int | None = None, texts: bool = False, slice_bytes: int = SLICE_BYTES, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int | None = None, texts: bool = False, slice_bytes: int = SLICE_BYTES, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) to COLUMNS and, with texts, the bytes that are kept."""
     gram = gram or max(1, length * GRAM // LENGTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -391,7 +480,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
     sent, crowded = answers.agg(F.sum("sent"), F.sum("crowded")).first()
     told = answers.select("slice", "range", "codes")
     if sent:
-        told = told.unionAll(search(stretches(parts, answers.select("slice", "range", "codes"), math.ceil(sent / shard_rows), length, gram), length, gram, batch))
+        arrived = stretches(parts, answers.select("slice", "range", "codes"), math.ceil(sent / shard_rows), length, gram)
+        arrived = materialize(arrived.withColumn("batch", F.pmod(F.xxhash64("slice"), F.lit(batches)).cast("int")), "stretches")
+        told = told.unionAll(search(arrived, batches, length, gram))
     if crowded:
         windows = ask_windows(parts, answers.select("slice", "range", "codes"), max(1, math.ceil(crowded * length / 2 / range_rows / 4)), length, gram)
         told = told.unionAll(packed.totals(windows).select("slice", (F.col("range") + _HOT_OFFSET).alias("range"), F.col("totals").alias("codes")))
