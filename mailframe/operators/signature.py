@@ -31,6 +31,8 @@ EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 SHORT, LONG, LINE_BYTES = 10, 60, 200
 
 _ANY_DELIMITER = "|".join(f"(?:{java(p, flags)})" for p, flags in DELIMITERS)
+#: A line that is a sign-off, in a whole body.
+_ANY_SIGN_OFF = java(r"^(?:" + "|".join(SIGN_OFFS) + r"),?\s*$", "mi")
 _SIGN_OFF = java(r"\A(?:" + "|".join(SIGN_OFFS) + r"),?\s*\z", "i")
 
 
@@ -66,9 +68,10 @@ def _signed_off(body: Column) -> Column:
         tail = lambda i: F.slice(ls, i, n - i + 1)
         at = F.filter(F.sequence(F.greatest(F.lit(1), n - (LONG - 1)), n), lambda i: F.rlike(F.get(ls, i - 1), F.lit(_SIGN_OFF)) & looks_like_signature(tail(i)))
         found = let(F.get(at, F.lit(0)), lambda i: F.when(i.isNotNull(), F.struct(F.array_join(F.slice(ls, F.lit(1), i - 1), "\n").alias("text"), F.array_join(tail(i), "\n").alias("signature"))))
-        return F.when((n > 0) & F.exists(ls, lambda x: F.rlike(x, F.lit(_SIGN_OFF))), found)
+        return F.when(n > 0, found)
 
-    return let(lines(body), cut)
+    # one look for any sign-off spares most bodies their lines
+    return F.when(F.rlike(body, F.lit(_ANY_SIGN_OFF)), let(lines(body), cut))
 
 
 def extract_signature(body: Column) -> Column:

@@ -135,16 +135,39 @@ def test_files_streams_and_sql(spark, tmp_path):
     assert tuple(r) == ("Hello", "a", "x", "a\n\nb", "ab", "test@example.com")
 
 
+def test_more_sql_functions(spark):
+    register(spark)
+    [r] = spark.sql("SELECT mail_mask_urls('see https://static.licdn.com/a \\'https://x.org/y') AS u, mail_mask_tokens('?midToken=1&lipi=2') AS t, mail_quoted_at('a\nOn Mon, Feb 2, 2026 at 10 A B wrote:\n> x') AS q, mail_quoted_at('a') AS n").collect()
+    assert tuple(r) == ("see https://example.com/static/image.png 'https://example.com/", "?midToken=REDACTED&lipi=REDACTED", 3, 0)
+
+
 def test_anonymize(spark):
     text = "see https://www.linkedin.com/comm/in/jane?trk=x https://example.org/a https://example-shop.com/b mail a.b@c.org ?midToken=AQ&otpToken=1 lipi=u trkEmail=e"
     [r] = spark.createDataFrame([(text,)], "x string").select(anonymize.mask_text(F.col("x")).alias("y")).collect()
     assert r.y == "see https://example.com/ https://example.com/ https://example-shop.com/b mail test@example.com ?midToken=REDACTED&otpToken=REDACTED lipi=REDACTED trk=REDACTED"
     raw = "Received: x\nFrom: Jane Roe <jane@roe.org>\nTo: pat.doe@x.org\nMessage-ID: <1@x>\nContent-Type: multipart/mixed; boundary=b\n\npre Jane\n--b\nContent-Transfer-Encoding: quoted-printable\n\nDear Pat, caf=C3=A9 https://x.org/=\ny Jane=20Roe\n--b--\n"
-    out = anonymize.anonymize_message(raw)
+    out = spark.createDataFrame([(raw,)], "x string").select(anonymize.anonymize_eml(F.col("x")).alias("y")).first().y
     assert "Received" not in out and "From: Jane Roe" not in out and "From: Max Mustermann <noreply@example.com>" in out
     assert "To: test@example.com" in out and "Message-ID: <test-message-id@example.com>" in out and "pre Max" in out
     assert "Dear Max, caf=C3=A9 https://example.com/ Max Mustermann" in out
-    assert anonymize.sender_names("Events GmbH <x@y.org>", "") == anonymize.sender_names("WERK1 <x@y.org>", "") == anonymize.sender_names("Jane <info@y.org>", "") == ("", "")
-    assert anonymize.sender_names("Jane Roe via Net <x@y>", "") == ("Jane", "Roe") and anonymize.sender_names("x", "Elias just messaged you") == ("Elias", "")
+    senders = [("Events GmbH <x@y.org>", ""), ("WERK1 <x@y.org>", ""), ("Jane <info@y.org>", ""), ("Jane Roe via Net <x@y>", ""), ("x", "Elias just messaged you"), ("Ann  van Roe <a@b.c>", "")]
+    rows = spark.createDataFrame(senders, "f string, s string").select(anonymize.sender_name(F.col("f"), F.col("s")).alias("n")).collect()
+    assert [r.n for r in rows] == ["", "", "", "Jane Roe", "Elias", "Ann  van Roe"]
+    rows = spark.createDataFrame([("Pat <p@x>",), ("pat.doe_x@x.org",), ("",), ("<p@x>",)], "t string").select(anonymize.recipient_name(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == ["Pat", "Pat Doe X", "", ""]
+    odd = ["no empty line", "Subject: a (b\\E [c\n\nx", None, "From: A(b <a@b.cd>\nTo: x\n\nA(b, a(B c", "To: q\nContent-Type: multipart/x; boundary=b\n\npre q@r.de\n--b\nno gap q@r.de\n--b--\nend q@r.de"]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", anonymize.anonymize_eml(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got[:3] == [odd[0], odd[1], None] and got[3].endswith("\n\nMax, Max c")
+    assert got[4].endswith("\n\npre test@example.com\n--b\nno gap q@r.de\n--b--\nend test@example.com")
     df = spark.createDataFrame([("file:/a/b.eml", raw.encode())], "path string, content binary")
     assert anonymize.anonymize_files(df).first().path == "file:/a/b.anon.eml"
+
+
+def test_plain_messages_are_read_as_by_the_parser():
+    """The short way of plain messages against the standard library's parser."""
+    heads = ["Subject: a\nContent-Type: text/plain; charset=latin-1\n", "Subject:\n folded\n\tmore\n", "X:1\r\nSubject: =?utf-8?B?Q2Fmw6k=?= x\r\n", "Content-Type: text/html\nTo: a@b.cd\n", "From x\nSubject: y\n", "bad line\nSubject: y\n", "Subject: a\nSubject: b\nContent-Type: text/plain\nContent-Type: text/html\n", "Content-Transfer-Encoding: base64\nSubject: c\n", "Subject: d\nContent-Type: text/plain; charset=nosuch; format=flowed\n", "Content-Disposition: attachment\nSubject: e\n", "Content-Type: multipart/mixed\nMessage-ID: <a@b>\n", "Subject: é\n", "Content-Type: TEXT/Plain ; CharSet=\"UTF-8\"\nDate: Mon, 10 Feb 2026 10:30:00 +0000\n", ""]
+    bodies = ["", "\n", "\nbody é\r\nline\n", "\r\nbody\n\nlast", "\n\nSGk=\n", "no gap"]
+    for head in heads:
+        for body in bodies:
+            for raw in ((head + body).encode(), (head + body).encode("latin-1")):
+                assert mime.parse(raw) == mime.parse(raw, short=False), raw
