@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -63,9 +64,12 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.count: Counter = Counter()  # of open elements by tag, so that a look for one that isn't there costs nothing
 
     def _find(self, tags, stops=frozenset()) -> int | None:
         """Place of the innermost open element among tags, unless a stop stands before it."""
+        if not any(self.count[t] for t in tags):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 return i
@@ -75,9 +79,14 @@ class _Builder(HTMLParser):
 
     def _close(self, tags, stops=frozenset()) -> bool:
         if (i := self._find(tags, stops)) is not None:
-            del self.open[i:]
+            self._cut(i)
         return i is not None
 
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
+
     def handle_starttag(self, tag, attrs):
         if tag not in _HEAD_ONLY and tag != "head":
             self._close(("head",))
@@ -95,18 +104,19 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("script", "style", "title", "textarea") and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(-1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.handle_starttag("br", [])
         elif tag == "p" and self._find(("p",), _MARKERS) is None:
             self.handle_starttag("p", [])
-            self.open.pop()
+            self._cut(-1)
         elif tag in _TABLE_PARTS:
             self._close((tag,), frozenset(("table",)) if tag != "table" else frozenset())
         elif tag not in VOID and tag not in ("html", "body"):
@@ -114,7 +124,7 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(-1)
         own = self.open[-1].children
         if own and isinstance(own[-1], str):
             own[-1] += data

@@ -17,9 +17,14 @@ _AFTER_NEWLINE = re.compile(r"\n +")
 _OTHER_SPACE = re.compile(r"[^\S\n]+")
 _NEWLINES = re.compile(r"\n{3,}")
 _TRIM = " \n"
+#: Marks around the number of a finished quote in the text around it; they are no characters, and go from texts.
+_MARK, _END = "\ufdd0", "\ufdd1"
+_QUOTE = re.compile(f"{_MARK}([0-9]+){_END}")
 
 
 def _escape(text: str) -> str:
+    if _MARK in text or _END in text:
+        text = text.replace(_MARK, "").replace(_END, "")
     return _LEADING.sub(r"\1\\\2", _INNER.sub(lambda m: "\\" + m[0], text))
 
 
@@ -47,7 +52,23 @@ def _list(node: Node, inner: dict[int, str]) -> str:
     return _block("\n".join(items))
 
 
-def _render(node: Node, inner: str, parts: dict[int, str]) -> str:
+def _unfold(text: str, quotes: list[str]) -> str:
+    """text with the quotes it holds, each line's marks written once; as long as what it gives."""
+    out: list[str] = []
+    todo: list[tuple[str, int]] = [(text, 0)]
+    while todo:
+        text, depth = todo.pop()
+        m = _QUOTE.search(text)
+        before = text[: m.start()] if m else text
+        out.append(before.replace("\n", "\n" + "> " * depth))
+        if m:
+            todo.append((text[m.end() :], depth))
+            out.append("> ")
+            todo.append((quotes[int(m[1])], depth + 1))
+    return "".join(out)
+
+
+def _render(node: Node, inner: str, parts: dict[int, str], quotes: list[str]) -> str:
     tag = node.tag
     if tag == "br":
         return "  \n"
@@ -68,11 +89,14 @@ def _render(node: Node, inner: str, parts: dict[int, str]) -> str:
     if tag in ("ul", "ol"):
         return _list(node, parts)
     if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-        inner = " ".join(inner.split())
+        inner = " ".join(_unfold(inner, quotes).split())
         return _block(f"{'#' * int(tag[1])} {inner}") if inner else ""
     if tag == "blockquote":
         inner = _NEWLINES.sub("\n\n", _AFTER_NEWLINE.sub("\n", inner.strip(_TRIM)))
-        return _block("\n".join(f"> {line}" for line in inner.split("\n"))) if inner else ""
+        if not inner:
+            return ""
+        quotes.append(_OTHER_SPACE.sub(" ", inner))
+        return _block(f"{_MARK}{len(quotes) - 1}{_END}")
     if tag in ("td", "th"):
         inner = inner.strip()
         return f"\n\n{inner}\n\n" if inner else ""
@@ -84,6 +108,7 @@ def _render(node: Node, inner: str, parts: dict[int, str]) -> str:
 def to_markdown(root: Node) -> str:
     """Children before parents, without recursion, as mail nests deeply."""
     done: dict[int, str] = {}
+    quotes: list[str] = []
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
         node, ready = stack.pop()
@@ -91,7 +116,7 @@ def to_markdown(root: Node) -> str:
             done[id(node)] = ""
         elif ready:
             inner = "".join(done[id(c)] if isinstance(c, Node) else _escape(_SPACE.sub(" ", c)) for c in node.children)
-            done[id(node)] = _render(node, inner, done)
+            done[id(node)] = _render(node, inner, done, quotes)
             if node.tag not in ("ul", "ol"):
                 for c in node.children:
                     done.pop(id(c), None) if isinstance(c, Node) and node is not root else None
@@ -99,4 +124,5 @@ def to_markdown(root: Node) -> str:
             stack.append((node, True))
             stack += [(c, False) for c in node.children if isinstance(c, Node)]
     text = _AFTER_NEWLINE.sub("\n", done[id(root)]).strip()
-    return _NEWLINES.sub("\n\n", _OTHER_SPACE.sub(" ", text))
+    text = _NEWLINES.sub("\n\n", _OTHER_SPACE.sub(" ", text))
+    return _unfold(text, quotes) if quotes else text

@@ -61,3 +61,28 @@ def test_quotes_find_their_attribution():
 
 def test_deep_nesting():
     assert to_markdown(parse("<div>" * 5000 + "x" + "</div>" * 5000)) == "x"
+
+
+def test_emphasis_code_quotes_and_headings():
+    md = lambda x: to_markdown(parse(x))
+    assert md("<blockquote>a<br>b<blockquote><p>c</p><p>d</p></blockquote></blockquote>e") == "> a \n> b\n> \n> > c\n> > \n> > d\n\ne"
+    assert md("<ul><li><blockquote>a<p>b</p></blockquote></li></ul>") == "* > a\n> \n> b"
+    assert md("<h3>x <blockquote>y<p>z</p></blockquote></h3>") == "### x > y > > z"
+    assert md("<em>a</em> <i>b</i> <strong>c</strong> <code>d  e</code>") == "*a* *b* **c** `d e`"
+    assert md("<pre>x\n y</pre>") == "```\nx\ny\n```"
+    assert md("<h1>a</h1><h6>b</h6>") == "# a\n\n###### b"
+    assert md("a\ufdd00\ufdd1<blockquote>b</blockquote>") == "a0\n\n> b"
+    assert md("<div>a</div>\n   <div>b</div>   c") == "a\n\nb\n\nc"
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for deep in ("<blockquote>x" * 3000, "<div>" * 20_000 + "x", "<b><i>" * 10_000, "<table><tr><td>" * 3000 + "x", "<ul><li>" * 3000 + "x"):
+        to_markdown(parse(deep))
+    assert time.perf_counter() - began < 10
+
+
+def test_a_broken_declaration_leaves_what_came_before():
+    assert to_markdown(parse("<p>a</p><![bad[ <p>b</p>")).startswith("a")
