@@ -289,4 +289,23 @@ def _mask_urls(x: str) -> str:
 
 _column("mask_urls", c.MASKED, "body", anonymize.mask_urls, _mask_urls("body"))
 _column("mask_tokens", c.MASKED, "body", anonymize.mask_tokens, _mask_tokens("body"))
-_query("anonymize_eml", c.RAW, lambda df: df.select("msg_id", anonymize.anonymize_eml(F.col("raw")).alias("anonymized")))
+_query("parse_mime", c.MIME, lambda df: _decoded(df, F.col("m.subject"), F.col("m.text"), F.col("m.html"), F.col("m.has_html")), c.MIME_WANT)
+
+
+def _mask_names(x: str, *names: tuple[str, str]) -> str:
+    """Words replaced whatever their case; twice, as a match takes the characters around it along."""
+    for name, to in names:
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(?i)(^|[^\\pL\\pN]){name}($|[^\\pL\\pN])', '\\1{to}\\2', 'g')"
+    return x
+
+
+_ANONYMOUS = _mask_names(f"regexp_replace({_mask_tokens(f'regexp_replace({_mask_urls("body")}, {chr(39)}{anonymize.EMAIL}{chr(39)}, {chr(39)}{anonymize.EMAIL_PLACEHOLDER}{chr(39)}, {chr(39)}g{chr(39)})')}, '(?i)Alice Roe', '{anonymize.FULL}', 'g')", ("Alice", anonymize.FIRST), ("Roe", anonymize.LAST), ("Bob", anonymize.FIRST))
+_query(
+    "anonymize_eml", c.RAW, lambda df: df.select("msg_id", anonymize.anonymize_eml(F.col("raw")).alias("anonymized")),
+    f"""SELECT msg_id, 'From: {anonymize.FULL} <{anonymize.SENDER_PLACEHOLDER}>' || {c.NL} || 'To: {anonymize.FULL}  <{anonymize.EMAIL_PLACEHOLDER}>, {anonymize.EMAIL_PLACEHOLDER}' || {c.NL} ||
+               CASE WHEN conv_id % 3 = 0 THEN 'Cc: "Roe,{anonymize.FULL}  <{anonymize.EMAIL_PLACEHOLDER}>' || {c.NL} ELSE '' END || 'Subject: =?UTF-8?Q?Caf=C3=A9_' || conv_id || '?= topic' || {c.NL} ||
+               'Date: Mon, 02 Feb 2026 10:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':00 +0100' || {c.NL} || 'Message-ID: {anonymize.MESSAGE_ID}' || {c.NL} ||
+               CASE WHEN turn > 0 THEN 'In-Reply-To: <c' || conv_id || '.t' || (turn - 1) || '@example.org>' || {c.NL} || 'References: <c' || conv_id || '.t0@example.org>  <c' || conv_id || '.t' || (turn - 1) || '@example.org>' || {c.NL} ELSE '' END ||
+               'Content-Type: text/plain; charset=UTF-8' || {c.NL} || 'Content-Transfer-Encoding: 8bit' || {c.NL} || {c.NL} || {_ANONYMOUS} AS anonymized FROM ({c.RAW}) e""",
+)

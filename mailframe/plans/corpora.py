@@ -183,6 +183,53 @@ SELECT msg_id, kind, form, before, conv_id, 'From: Alice <alice@example.org>' ||
 FROM ({THREADS}) t
 """
 
+
+
+def _b64(x: str, charset: str = "UTF-8") -> str:
+    return f"base64(encode({x}, '{charset}'))"
+
+
+def _qp(x: str) -> str:
+    """Quoted-printable with every byte coded."""
+    return f"regexp_replace(hex(encode({x}, 'UTF-8')), '(..)', '=$1')"
+
+
+def _mime_part(kind: str, code: str, body: str, more: str = "") -> str:
+    return f"'Content-Type: {kind}' || {NL} || 'Content-Transfer-Encoding: {code}' || {NL} || '{more}' || {NL} || {body}"
+
+
+def _multipart(kind: str, mark: str, *parts: str) -> str:
+    return f"'Content-Type: multipart/{kind}; boundary=\"{mark}\"' || {NL} || {NL} || 'before' || {NL} || " + " || ".join(f"'--{mark}' || {NL} || {p} || {NL} ||" for p in parts).replace("|| ||", "||") + f" '--{mark}--' || {NL} || 'after'"
+
+
+_PARAGRAPH = "'<p>' || text || '</p>'"
+_ALTERNATIVE = lambda plain, rich: _multipart("alternative", "inner", plain, rich)
+#: (message from its content headers on, what its body is as text, as HTML, whether it has HTML)
+MIME_KINDS = [
+    (_mime_part("text/plain; charset=UTF-8", "base64", _b64("text")), "text", "NULL", False),
+    (_mime_part("text/plain; charset=utf-8", "quoted-printable", _qp("text")), "text", "NULL", False),
+    (_mime_part("text/plain; charset=iso-8859-1", "quoted-printable", "'Gr=FC=DFe ' || conv_id"), "'Grüße ' || conv_id", "NULL", False),
+    (_ALTERNATIVE(_mime_part("text/plain; charset=utf-16le", "base64", _b64("text", "UTF-16LE")), _mime_part("text/html; charset=utf-8", "quoted-printable", _qp(_PARAGRAPH))), "text", _PARAGRAPH, True),
+    (
+        _multipart("mixed", "outer", _ALTERNATIVE(_mime_part("text/plain; charset=utf-8", "quoted-printable", _qp("text")), _mime_part("text/html; charset=utf-8", "base64", _b64(_PARAGRAPH))), _mime_part("text/html", "7bit", "'<p>attached</p>'", "Content-Disposition: attachment; filename=a.html" + "' || chr(10) || '")),
+        "text", _PARAGRAPH, True,
+    ),
+    (_multipart("mixed", "one", _mime_part("text/html; charset=utf-8", "base64", _b64(_PARAGRAPH)), _mime_part("application/pdf", "base64", "'AAAA'")), _PARAGRAPH, _PARAGRAPH, True),
+]
+_MIME_KIND = f"CAST((conv_id + turn) % {len(MIME_KINDS)} AS INT)"
+#: Messages of one and many parts in several charsets and transfer encodings, written for Spark; the subject has words of both forms.
+MIME = f"""
+SELECT conv_id * 1000 + turn AS msg_id,
+       'From: A <a@example.org>' || {NL} || 'Subject: =?utf-8?B?' || {_b64("'Größe ' || conv_id")} || '?=' || {NL} || ' =?iso-8859-1?q?_f=FCr_alle?= x' || {NL} || 'MIME-Version: 1.0' || {NL} ||
+       {_case(_MIME_KIND, [m for m, _, _, _ in MIME_KINDS])} AS raw
+FROM {{conversations}}
+"""
+MIME_WANT = f"""
+SELECT conv_id * 1000 + turn AS msg_id, 'Größe ' || conv_id || ' für alle x' AS subject, {_case(_MIME_KIND, [t for _, t, _, _ in MIME_KINDS])} AS text,
+       {_case(_MIME_KIND, [h for _, _, h, _ in MIME_KINDS])} AS html, {_case(_MIME_KIND, [str(b).lower() for _, _, _, b in MIME_KINDS])} AS has_html
+FROM {{conversations}}
+"""
+
 _FRAGMENTS = [
     ("'<p>' || words || '</p><p>second</p>'", "words || {nl} || {nl} || 'second'"),
     ("'<ul><li>' || words || '</li><li>b</li></ul>'", "'* ' || words || {nl} || '* b'"),
