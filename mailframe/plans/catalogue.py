@@ -302,7 +302,7 @@ def _mask_names(x: str, *names: tuple[str, str]) -> str:
 
 _ANONYMOUS = _mask_names(f"regexp_replace({_mask_tokens(f'regexp_replace({_mask_urls("body")}, {chr(39)}{anonymize.EMAIL}{chr(39)}, {chr(39)}{anonymize.EMAIL_PLACEHOLDER}{chr(39)}, {chr(39)}g{chr(39)})')}, '(?i)Alice Roe', '{anonymize.FULL}', 'g')", ("Alice", anonymize.FIRST), ("Roe", anonymize.LAST), ("Bob", anonymize.FIRST))
 _query(
-    "anonymize_eml", c.RAW, lambda df: df.select("msg_id", anonymize.anonymize_eml(F.col("raw")).alias("anonymized")),
+    "anonymize_eml", c.RAW, lambda df: anonymize.anonymize_eml(df, F.col("raw"), ("msg_id",)),
     f"""SELECT msg_id, 'From: {anonymize.FULL} <{anonymize.SENDER_PLACEHOLDER}>' || {c.NL} || 'To: {anonymize.FULL}  <{anonymize.EMAIL_PLACEHOLDER}>, {anonymize.EMAIL_PLACEHOLDER}' || {c.NL} ||
                CASE WHEN conv_id % 3 = 0 THEN 'Cc: "Roe,{anonymize.FULL}  <{anonymize.EMAIL_PLACEHOLDER}>' || {c.NL} ELSE '' END || 'Subject: =?UTF-8?Q?Caf=C3=A9_' || conv_id || '?= topic' || {c.NL} ||
                'Date: Mon, 02 Feb 2026 10:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':00 +0100' || {c.NL} || 'Message-ID: {anonymize.MESSAGE_ID}' || {c.NL} ||

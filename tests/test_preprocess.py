@@ -146,7 +146,7 @@ def test_anonymize(spark):
     [r] = spark.createDataFrame([(text,)], "x string").select(anonymize.mask_text(F.col("x")).alias("y")).collect()
     assert r.y == "see https://example.com/ https://example.com/ https://example-shop.com/b mail test@example.com ?midToken=REDACTED&otpToken=REDACTED lipi=REDACTED trk=REDACTED"
     raw = "Received: x\nFrom: Jane Roe <jane@roe.org>\nTo: pat.doe@x.org\nMessage-ID: <1@x>\nContent-Type: multipart/mixed; boundary=b\n\npre Jane\n--b\nContent-Transfer-Encoding: quoted-printable\n\nDear Pat, caf=C3=A9 https://x.org/=\ny Jane=20Roe\n--b--\n"
-    out = spark.createDataFrame([(raw,)], "x string").select(anonymize.anonymize_eml(F.col("x")).alias("y")).first().y
+    out = anonymize.anonymize_eml(spark.createDataFrame([(raw,)], "x string"), F.col("x")).first().anonymized
     assert "Received" not in out and "From: Jane Roe" not in out and "From: Max Mustermann <noreply@example.com>" in out
     assert "To: test@example.com" in out and "Message-ID: <test-message-id@example.com>" in out and "pre Max" in out
     assert "Dear Max, caf=C3=A9 https://example.com/ Max Mustermann" in out
@@ -156,7 +156,7 @@ def test_anonymize(spark):
     rows = spark.createDataFrame([("Pat <p@x>",), ("pat.doe_x@x.org",), ("",), ("<p@x>",)], "t string").select(anonymize.recipient_name(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == ["Pat", "Pat Doe X", "", ""]
     odd = ["no empty line", "Subject: a (b\\E [c\n\nx", None, "From: A(b <a@b.cd>\nTo: x\n\nA(b, a(B c", "To: q\nContent-Type: multipart/x; boundary=b\n\npre q@r.de\n--b\nno gap q@r.de\n--b--\nend q@r.de"]
-    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", anonymize.anonymize_eml(F.col("x")).alias("y")).orderBy("i").collect()]
+    got = [r.y for r in anonymize.anonymize_eml(spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string"), F.col("x"), ("i",), "y").orderBy("i").collect()]
     assert got[:3] == [odd[0], odd[1], None] and got[3].endswith("\n\nMax, Max c")
     assert got[4].endswith("\n\npre test@example.com\n--b\nno gap q@r.de\n--b--\nend test@example.com")
     df = spark.createDataFrame([("file:/a/b.eml", raw.encode())], "path string, content binary")
