@@ -41,10 +41,10 @@ _MASK = np.uint64(DIM - 1)
 def split(text: str | None) -> list[str]:
     """Lower-cased runs of letters, long ones in pieces."""
     text = (text or "").lower()
-    if not text.isascii() and _NUMBER.search(text):
-        text = _NUMBER.sub(" ", text)
     found = _WORD.findall(text)
-    if any(len(w) > PIECE for w in found):
+    if not text.isascii() and found and not "".join(found).replace("'", "").replace("’", "").isalpha():
+        found = _WORD.findall(_NUMBER.sub(" ", text))
+    if max(map(len, found), default=0) > PIECE:
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
     return found
 
