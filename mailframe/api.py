@@ -26,6 +26,10 @@ class RenderMode(enum.IntEnum):
 class LlmContextOptions:
     render_mode: RenderMode | str = RenderMode.LatestOnly
 
+    def __repr__(self) -> str:
+        chosen = RenderMode.ThreadHistory if render_mode(self.render_mode) == THREAD_HISTORY else RenderMode.LatestOnly
+        return f"LlmContextOptions(render_mode={chosen.name})"
+
 
 @dataclass(frozen=True)
 class Address:
@@ -35,6 +39,10 @@ class Address:
     def __str__(self) -> str:
         return self.email if self.name is None else f"{self.name} <{self.email}>"
 
+    def __repr__(self) -> str:
+        name = "" if self.name is None else f"name='{self.name}', "
+        return f"Address({name}email='{self.email}')"
+
 
 @dataclass(frozen=True)
 class CallToAction:
@@ -42,6 +50,9 @@ class CallToAction:
     text: str
     confidence: float
 
+    def __repr__(self) -> str:
+        return f"CallToAction(url='{self.url}', text='{self.text}', confidence={self.confidence:.2f})"
+
 
 @dataclass(frozen=True)
 class ThreadMessage:
@@ -49,6 +60,10 @@ class ThreadMessage:
     timestamp: str | None
     body: str
 
+    def __repr__(self) -> str:
+        when = "None" if self.timestamp is None else f'Some("{self.timestamp}")'
+        return f"ThreadMessage(sender='{self.sender}', timestamp={when}, body=({len(self.body.encode())} chars))"
+
 
 @dataclass(frozen=True)
 class ProcessedEmail:
@@ -67,6 +82,9 @@ class ProcessedEmail:
     primary_cta: CallToAction | None
     thread_messages: list[ThreadMessage] = field(default_factory=list)
 
+    def __repr__(self) -> str:
+        return f"ProcessedEmail(subject='{self.subject or ''}', body=({self.clean_body_length} chars))"
+
 
 def _record(r: Row) -> ProcessedEmail:
     person = lambda a: Address(a["name"], a["email"])

@@ -50,9 +50,9 @@ class ParseError(ValueError):
     """A message without a single header."""
 
 
-@dataclass(frozen=True)
+@dataclass
 class PreprocessOptions:
-    """max_body_length counts characters; 0 is no limit."""
+    """max_body_length counts characters; 0 is no limit. A plan takes the values that hold when it is built."""
 
     strip_quotes: bool = True
     strip_signature: bool = True

@@ -25,3 +25,17 @@ def test_single_messages_and_errors(spark):
     options = api.LlmContextOptions()
     options.render_mode = "threadHistory"
     assert "THREAD HISTORY" in api.to_llm_context_with_options(api.preprocess_string(GMAIL), options)
+
+
+def test_options_can_be_set_and_records_have_short_forms():
+    options = api.PreprocessOptions()
+    options.strip_quotes = False
+    assert repr(options) == "PreprocessOptions(strip_quotes=False, strip_signature=True, max_body_length=0)"
+    assert repr(api.LlmContextOptions("threadHistory")) == "LlmContextOptions(render_mode=ThreadHistory)"
+    assert repr(api.Address("A", "a@b.c")) == "Address(name='A', email='a@b.c')"
+    assert repr(api.Address(None, "a@b.c")) == "Address(email='a@b.c')"
+    assert repr(api.CallToAction("u", "t", 0.5)) == "CallToAction(url='u', text='t', confidence=0.50)"
+    assert repr(api.ThreadMessage("S", None, "ü")) == "ThreadMessage(sender='S', timestamp=None, body=(2 chars))"
+    assert repr(api.ThreadMessage("S", "2026", "")) == "ThreadMessage(sender='S', timestamp=Some(\"2026\"), body=(0 chars))"
+    mail = api.ProcessedEmail("b", None, None, [], [], None, None, None, None, None, 1, 1, None)
+    assert repr(mail) == "ProcessedEmail(subject='', body=(1 chars))"
