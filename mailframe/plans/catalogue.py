@@ -260,11 +260,27 @@ _query(
                'FROM: Alice <alice@example.org>' || chr(10) || 'SUBJECT: Thread ' || any_value(conv_id) AS head
         FROM ({c.RAW_HTML}) e LEFT JOIN ({_THREAD_SQL}) t ON t.msg_id = e.msg_id GROUP BY e.msg_id""",
 )
+def _html_sql() -> str:
+    """Records of the HTML messages: their Markdown by the corpus's grammar, and then the way of plain ones."""
+    flat = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    turn = f"replace(split_part(split_part(html, '<div dir=\"ltr\">', 2), '</div>', 1), {c.NL}, ' ')"
+    cite = f"{_known([(a,) for a, _, _ in c.ATTRIBUTIONS], 0, 'VARCHAR')}"
+    quote = f"'> ' || {flat('before')} || {c.NL} || '> ' || {c.NL} || '> Roe' || {c.NL} || '> ' || {c.NL} || '> On Sun, 1 Feb 2026 at 7:00, Carol wrote:' || {c.NL} || '> ' || {c.NL} || '> > ' || CASE WHEN form = 7 THEN {flat('before')} ELSE 'first of ' || conv_id END"
+    whole = f"{flat(turn)} || {c.NL} || {c.NL} || CASE WHEN form = 8 THEN '' ELSE {cite} || {c.NL} || {c.NL} END || {quote}"
+    source = f"SELECT msg_id, conv_id, form, strlen(md)::BIGINT AS raw_body_length, {_strip_quotes('md')} AS body FROM (SELECT *, {whole} AS md FROM ({c.THREADS}) t) t"
+    return f"""
+SELECT msg_id, 'Thread ' || conv_id AS subject, 'alice@example.org' AS from_email, {_tidy('text')} AS body, signature, raw_body_length, strlen({_tidy('text')})::BIGINT AS clean_body_length,
+       NULL::VARCHAR AS cta_url, ((form <> 7)::INT + (form <> 8)::INT)::INT AS n_thread
+FROM ({_signature_sql(source, 'conv_id, form, raw_body_length')}) e
+"""
+
+
 _query(
     "preprocess_html", c.RAW_HTML,
     lambda df: preprocess(df, "raw", keep=("msg_id",)).select("msg_id", "subject", F.col("from.email").alias("from_email"), "body", "signature", "raw_body_length", "clean_body_length", F.col("primary_cta.url").alias("cta_url"), F.size("thread_messages").alias("n_thread")),
+    _html_sql(),
 )
-_query("html_to_markdown", "SELECT page_id, html FROM {pages}", lambda df: df.select("page_id", read_html(t.clean_invisible(F.col("html")), ("markdown",)).alias("h")).select("page_id", "h.markdown"))
+_query("html_to_markdown", "SELECT page_id, html FROM {pages}", lambda df: df.select("page_id", read_html(t.clean_invisible(F.col("html")), ("markdown",)).alias("h")).select("page_id", "h.markdown"), c.PAGES_WANT)
 _query("markdown_fragments", c.FRAGMENTS, lambda df: df.select("msg_id", read_html(F.col("html"), ("markdown",)).alias("h")).select("msg_id", "h.markdown"), c.FRAGMENTS_WANT)
 
 # Masks. RE2 has no look-ahead: the last URL rule is written as a rule that keeps example sites through a group.

@@ -270,3 +270,29 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for n, df in tables.items():
         df.createOrReplaceTempView(f"_mailframe_{n}")
     return spark.sql(re.sub(r"\{([a-z]+)\}", r"_mailframe_\1", sql))
+
+
+def _words(x: str) -> str:
+    """Text of HTML without tags in it, as Markdown writes it."""
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    x = f"regexp_replace({x}, '([\\\\*_`\\[\\]])', '\\\\\\1', 'g')"
+    return f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '^([-+>=])', '\\\\\\1')"
+
+
+def _bold(before: str, own: str, x: str) -> str:
+    """x in the marks of three at most of the <b> before it, and of its own."""
+    marks = f"repeat('**', least(3, {before}) + {own})"
+    return f"{marks} || {x} || {marks}"
+
+
+#: Markdown of the pages by their grammar. No <b> there has an end tag, so a browser opens it anew in each later block, but three alike at most.
+PAGES_WANT = f"""
+SELECT page_id, array_to_string(list_filter([
+         array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1), lambda x: '* [' || {_words('x')} || ']'), {NL}),
+         {_words("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")},
+         '# ' || {_words("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")},
+         array_to_string(list_filter(list_transform(range(2, len(p) + 1), lambda i: {_bold("len(list_filter(p[:i - 1], lambda x: starts_with(x, '<b>')))", "starts_with(p[i], '<b>')::INT", _words("regexp_replace(p[i], '<[^>]*>', '', 'g')"))}), lambda x: x <> ''), {NL} || {NL}),
+         {_bold("len(list_filter(p, lambda x: starts_with(x, '<b>')))", "0", _words("regexp_extract(html, '<footer>([^<]*)</footer>', 1)"))}], lambda x: x <> ''), {NL} || {NL}) AS markdown
+FROM (SELECT page_id, html, string_split(regexp_extract(html, '</h1>(.*?)</article>', 1, 's'), '<p>') AS p FROM {{pages}}) e
+"""

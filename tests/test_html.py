@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from mailframe.operators import dom
 from mailframe.operators.dom import parse
 from mailframe.operators.html import jsonld, links, quotes
 from mailframe.operators.markdown import to_markdown
@@ -86,3 +89,40 @@ def test_deep_nesting_takes_linear_time():
 
 def test_a_broken_declaration_leaves_what_came_before():
     assert to_markdown(parse("<p>a</p><![bad[ <p>b</p>")).startswith("a")
+
+
+def _shown(node):
+    return node if isinstance(node, str) else f"<{node.tag}>{''.join(map(_shown, node.children))}</{node.tag}>"
+
+
+@pytest.mark.parametrize(
+    ("html", "tree"),
+    [
+        ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+        ("<p><b>A<p>B</p>", "<p><b>A</b></p><p><b>B</b></p>"),
+        ("<p>1<s>2<b>3</p>4</s>5</b>", "<p>1<s>2<b>3</b></s></p><s><b>4</b></s><b>5</b>"),
+        ("<a href=x><table><tr><td><a href=y>q</a></td></tr></table>t</a>", "<a><table><tr><td><a>q</a></td></tr></table>t</a>"),
+        ("<a>1<a>2</a>", "<a>1</a><a>2</a>"),
+        ("<a>1<div>2<div>3</a>4</div></div>", "<a>1</a><div><a>2</a><div><a>3</a>4</div></div>"),
+        ("<b>1<i>2<p>3</b>4", "<b>1<i>2</i></b><i><p><b>3</b>4</p></i>"),
+        ("<p><b><b><b><b><b>X<p>Y", "<p><b><b><b><b><b>X</b></b></b></b></b></p><p><b><b><b>Y</b></b></b></p>"),
+    ],
+)
+def test_formatting_that_is_not_nested(html, tree):
+    """The trees are those that the HTML standard gives for such mistakes."""
+    assert "".join(map(_shown, dom.parse(html).children)) == tree
+
+
+def test_random_tags_make_a_tree():
+    choose = random.Random(1)
+    tags = "a b i p div td table tr li ul font span br blockquote code object".split()
+
+    def check(node):
+        for child in node.children:
+            if isinstance(child, dom.Node):
+                assert child.parent is node
+                check(child)
+
+    for _ in range(500):
+        check(dom.parse("".join(choose.choice(["<%s>", "</%s>", "x%s"]) % choose.choice(tags) for _ in range(25))))
