@@ -20,6 +20,8 @@ n*n/2**65 over n distinct ones.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from mailframe.llm import packed, textops
 from mailframe.llm.common import release_memory
 
 ORDER, ALPHA, SLICE_BYTES, ROW_BYTES, RANGE_BYTES = 3, 0.4, 8 << 20, 1 << 20, 8 << 20
+#: Bytes of a word, distinct n-grams that a word adds to its slice, and bytes of text for a task of the shuffles: all about.
+WORD_BYTES, WORD_GRAMS, TASK_BYTES = 6, 2.2, 128 << 20
 COLUMNS = "doc_id long, n_words long, log_score double, mean_log_score double, n_top long, n_backoff long, n_unseen long"
 
 
@@ -133,14 +137,20 @@ def score_slice(table: pa.Table, totals: np.ndarray, n_total: int, order: int, a
     return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(length, pa.int64()), "log_score": pa.array(total), "mean_log_score": mean, "n_top": pa.array(kinds[0]), "n_backoff": pa.array(kinds[1]), "n_unseen": pa.array(kinds[2])})
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """docs (doc_id, text) to COLUMNS: natural logarithms, n_top words scored at the highest order that fits."""
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES, message: int = packed.MESSAGE) -> DataFrame:
+    """docs (doc_id, text) to COLUMNS: natural logarithms, n_top words scored at the highest order that fits.
+
+    slice_bytes and range_bytes are the least sizes; from about 700 GB on both grow so that messages hold `message` values (93 MB at 100 TB).
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_total = packed.count_words(docs)
     # dealt once and used twice: for questions, and to score what comes back (the plan reuses the exchange)
-    parts = packed.slices(docs, slice_bytes, ROW_BYTES).select("slice", "packed").repartition("slice")
-    ranges = max(1, -(-n_total * 6 // range_bytes))
-    answers = packed.totals(asked(parts, order, ranges))
+    grams = WORD_GRAMS / WORD_BYTES
+    grow = packed.growth(n_total * WORD_GRAMS, slice_bytes * grams, range_bytes * grams, message)
+    tasks = n_total * WORD_BYTES / TASK_BYTES
+    parts = packed.dealt(packed.slices(docs, int(slice_bytes * grow), ROW_BYTES).select("slice", "packed"), "slice", tasks)
+    ranges = max(1, math.ceil(n_total * WORD_BYTES / (range_bytes * grow)))
+    answers = packed.totals(asked(parts, order, ranges), tasks * WORD_GRAMS)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), strict=True))

@@ -1,4 +1,11 @@
-"""Slices of documents, and questions that slices ask the owners of ranges of hash values, all as packed binary columns."""
+"""Slices of documents, and questions that slices ask the owners of ranges of hash values, all as packed binary columns.
+
+Every slice asks nearly every range, so the messages are as many as slices times ranges. So that they stay long, slices and ranges
+grow with the square root of the corpus (growth) once a message would hold fewer than MESSAGE values; the most that a task holds grows alike.
+
+Defined cases: no rows give no slices and no questions; a slice without values asks nothing; null ids and repeated rows stay as they are in a
+slice; texts must not be null.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +22,20 @@ from mailframe.llm import textops
 from mailframe.llm.common import sorted_groups
 
 
+MESSAGE = 32
+
+
+def growth(total: float, of_slice: float, of_range: float, message: int = MESSAGE) -> float:
+    """By how much slices and ranges, that hold so many of total values, must grow for messages of that many values on average; 1 at least."""
+    return max(1.0, (message * total / (of_slice * of_range)) ** 0.5)
+
+
+def dealt(df: DataFrame, key: str, tasks: float) -> DataFrame:
+    """df by key, to the session's number of partitions, or to as many as there must be tasks if these are more."""
+    most = int(tasks)
+    return df.repartition(most, key) if most > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values, byte planes apart, compressed."""
     planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
@@ -105,10 +126,10 @@ QUESTION = "slice string, range int, values binary, counts binary"
 QUESTION_SCHEMA = pa.schema([("slice", pa.string()), ("range", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())])
 
 
-def totals(questions: DataFrame) -> DataFrame:
-    """slice, range, totals: the corpus counts of what each slice asked, in the order it asked.
+def totals(questions: DataFrame, tasks: float = 0) -> DataFrame:
+    """slice, range, totals: the corpus counts of what each slice asked, in the order it asked; tasks as for dealt.
 
-    A range's task holds the values that slices asked of that range, which the number of ranges bounds.
+    A task holds the values that slices asked of one range, which the number of ranges bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -127,4 +148,4 @@ def totals(questions: DataFrame) -> DataFrame:
             for name, r, part in zip(group["slice"].to_pylist(), group["range"].to_pylist(), np.split(back, size), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r], pa.int32()), pa.array([pack(part)], pa.binary())], names=["slice", "range", "totals"])
 
-    return questions.repartition("range").sortWithinPartitions("range").mapInArrow(run, "slice string, range int, totals binary")
+    return dealt(questions, "range", tasks).sortWithinPartitions("range").mapInArrow(run, "slice string, range int, totals binary")

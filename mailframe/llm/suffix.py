@@ -41,6 +41,7 @@ from mailframe.llm import packed, textops
 from mailframe.llm.common import materialize, release_memory, sorted_groups
 
 LENGTH, GRAM, SLICE_BYTES, RANGE_ROWS, SHARD_ROWS, BATCHES, HOT = 200, 40, 1 << 20, 400_000, 8_000, 4, 2_000
+RANGES_A_TASK = 8
 REPEATED, WHOLE, OPEN, SENDER, CROWDED = 1, 2, 4, 8, 16
 _POSITION = np.uint64(0xFFFFFFFF)
 
@@ -111,7 +112,7 @@ def ask(parts: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
     return parts.select("slice", "packed").mapInArrow(run, packed.QUESTION + ", stretches binary")
 
 
-def answer(questions: DataFrame, hot: int) -> DataFrame:
+def answer(questions: DataFrame, hot: int, tasks: float = 0) -> DataFrame:
     """slice, range, codes (a byte per pair asked), and how many stretches a shard or the counting of windows will get."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -136,7 +137,7 @@ def answer(questions: DataFrame, hot: int) -> DataFrame:
                 sent, hot_ = int(((part & SENDER) > 0).sum()), int(((part & CROWDED) > 0).sum())
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r], pa.int32()), pa.array([packed.pack(part)], pa.binary()), pa.array([sent], pa.int64()), pa.array([hot_], pa.int64())], names=["slice", "range", "codes", "sent", "crowded"])
 
-    return questions.repartition("range").sortWithinPartitions("range").mapInArrow(run, "slice string, range int, codes binary, sent long, crowded long")
+    return packed.dealt(questions, "range", tasks).sortWithinPartitions("range").mapInArrow(run, "slice string, range int, codes binary, sent long, crowded long")
 
 
 def _codes(found: dict[str, np.ndarray], answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -469,14 +470,19 @@ def remove(parts: DataFrame, answers: DataFrame, length: int, gram: int, texts:
     return parts.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, COLUMNS + (", kept binary" if texts else ""))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int | None = None, texts: bool = False, slice_bytes: int = SLICE_BYTES, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """docs (doc_id, text) to COLUMNS and, with texts, the bytes that are kept."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int | None = None, texts: bool = False, slice_bytes: int = SLICE_BYTES, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS, batches: int = BATCHES, hot: int = HOT, message: int = packed.MESSAGE) -> DataFrame:
+    """docs (doc_id, text) to COLUMNS and, with texts, the bytes that are kept.
+
+    slice_bytes and range_rows are the least sizes; from about 13 GB on both grow so that messages hold `message` anchors (9 MB at 1 TB, 94 MB at 100 TB).
+    """
     gram = gram or max(1, length * GRAM // LENGTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = materialize(packed.slices(docs, slice_bytes), "slices")
-    size = parts.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(1, math.ceil(size * 2 / (length - gram) / range_rows))
-    answers = materialize(answer(ask(parts, ranges, length, gram), hot), "answers")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    density = 2 / (length - gram)  # anchors a byte, about
+    grow = packed.growth(size * density, slice_bytes * density, range_rows, message)
+    parts = materialize(packed.slices(docs, int(slice_bytes * grow)), "slices")
+    ranges = max(1, math.ceil(size * density / (range_rows * grow)))
+    answers = materialize(answer(ask(parts, ranges, length, gram), hot, ranges / RANGES_A_TASK), "answers")
     sent, crowded = answers.agg(F.sum("sent"), F.sum("crowded")).first()
     told = answers.select("slice", "range", "codes")
     if sent:

@@ -36,10 +36,10 @@ def brute(texts, order, alpha, leave_one_out):
 TEXTS = ["the cat sat on the mat", "the cat ran", "The  cat sat on the mat", None, "", " \n", "zzz", "a a a a a b", "on the mat the cat sat", "w " * 3000 + "x", "the cat sat on the mat"]
 
 
-@pytest.mark.parametrize(("order", "leave"), [(1, True), (2, False), (3, True), (3, False), (4, True)])
-def test_scores_against_brute_force(spark, order, leave):
+@pytest.mark.parametrize(("order", "leave", "message"), [(1, True, 0), (2, False, 0), (3, True, 0), (3, False, 0), (4, True, 0), (3, True, 5)])
+def test_scores_against_brute_force(spark, order, leave, message):
     df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(TEXTS)], "doc_id long, text string, slice string, log_score double").repartition(3)
-    rows = {r.doc_id: r for r in lmscore.score(df, order=order, leave_one_out=leave, slice_bytes=40, range_bytes=3000).collect()}
+    rows = {r.doc_id: r for r in lmscore.score(df, order=order, leave_one_out=leave, slice_bytes=40, range_bytes=3000, message=message).collect()}
     assert len(rows) == len(TEXTS)
     for i, (n, log, top, back, unseen) in enumerate(brute(TEXTS, order, lmscore.ALPHA, leave)):
         r = rows[i]
@@ -61,6 +61,25 @@ def test_slices_are_dealt_once(spark):
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_more_tasks_than_the_session_asks_for(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b c {i % 7} d e") for i in range(200)], "doc_id long, text string")
+    want = sorted(map(str, lmscore.score(df, message=0).collect()))
+    monkeypatch.setattr(lmscore, "TASK_BYTES", 500)
+    found = lmscore.score(df, slice_bytes=100, range_bytes=400, message=0)
+    assert sorted(map(str, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slice" in plan and "REPARTITION_BY_NUM" in plan and "ReusedExchange" in plan
+
+
+def test_messages_stay_long_as_the_corpus_grows():
+    of_slice, of_range = 3e6, 3e6
+    assert packed.growth(1e10, of_slice, of_range) == 1
+    for total in (1e12, 1e14):
+        f = packed.growth(total, of_slice, of_range)
+        assert of_slice * f * of_range * f / total == pytest.approx(packed.MESSAGE)
+        assert of_slice * f < 1e8
+
+
 def test_packing():
     values = np.array([0, 1, 2**64 - 1, 77], np.uint64)
     assert packed.unpack(packed.pack(values)).tolist() == values.tolist()

@@ -44,7 +44,7 @@ def corpus(seed, length, n=60):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "length", "options"), [(1, 40, {}), (2, 40, {"slice_bytes": 3000, "batches": 7, "shard_rows": 60, "range_rows": 50}), (3, 40, {"slice_bytes": 3000, "hot": 3, "range_rows": 50}), (4, 200, {"slice_bytes": 20_000, "batches": 1}), (5, 25, {"slice_bytes": 2000, "hot": 0, "batches": 2})])
+@pytest.mark.parametrize(("seed", "length", "options"), [(1, 40, {}), (2, 40, {"slice_bytes": 3000, "batches": 7, "shard_rows": 60, "range_rows": 50, "message": 0}), (3, 40, {"slice_bytes": 3000, "hot": 3, "range_rows": 50, "message": 0}), (4, 200, {"slice_bytes": 20_000, "batches": 1}), (5, 25, {"slice_bytes": 2000, "hot": 0, "batches": 2}), (6, 40, {"slice_bytes": 500, "range_rows": 50, "message": 20})])
 def test_against_brute_force(spark, seed, length, options):
     texts = corpus(seed, length)
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, slice string, range int").repartition(3)
@@ -110,5 +110,5 @@ def test_a_long_text_and_a_passage_in_every_batch(spark):
     passage = say(300)
     texts = [say(60_000) + passage + say(40_000), *(say(100) + passage + say(100) for _ in range(30)), say(500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.deduplicate(df, slice_bytes=2000, batches=5).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.deduplicate(df, slice_bytes=2000, batches=5, message=0).collect()}
     assert got == dict(enumerate(brute(texts, 200)))
